@@ -70,3 +70,49 @@ def words_of(text: str) -> list[str]:
 def in_fold(doc_id: str, parts: int, part: int):
     """Whether crc32 of the id as text, mod ``parts``, is ``part``; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+def with_arrow_columns(df: DataFrame, inputs: list[str], make, fields: str) -> DataFrame:
+    """``df`` with columns computed in Arrow batches.
+
+    ``make()`` runs once in each task and returns a function from the arrays of ``inputs`` to the
+    arrays of ``fields`` (DDL).  A column of ``df`` that has a new column's name is replaced.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    new = T.StructType.fromDDL(fields)
+    kept = [c for c in df.columns if c not in new.names]
+    sent = kept + [c for c in inputs if c not in kept]
+    rows = df.select(*[F.col(f"`{c}`") for c in sent])
+    schema = T.StructType([*(rows.schema[c] for c in kept), *new])
+    places, n_kept = [sent.index(c) for c in inputs], len(kept)
+
+    def run(batches):
+        compute = make()
+        for batch in batches:
+            made = compute(*[batch.column(i) for i in places])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *made], names=schema.names)
+
+    on_workers(df.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
+def fits_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int) -> bool:
+    """Whether ``df`` has at most ``limit_bytes``, counted at ``row_bytes`` a row (one pass, nothing gathered)."""
+    most = limit_bytes // row_bytes
+    return df.limit(most + 1).count() <= most
+
+
+class WordCodes(dict):
+    """Word -> code, remembered; emptied when it holds ``limit`` words."""
+
+    def __init__(self, code, limit: int = 500_000) -> None:
+        super().__init__()
+        self.code, self.limit = code, limit
+
+    def __missing__(self, word):
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = out = self.code(word)
+        return out

@@ -38,3 +38,30 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {}
+
+
+def op9_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.common import in_fold
+    from docloom.llm.language_id import fit, identify
+
+    documents = table(spark, sf_dir, "documents")
+    held_out = in_fold("doc_id", 4, 2)
+    model = fit(documents.where(~held_out))
+    found = identify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.common import fits_broadcast, in_fold
+    from docloom.llm.toxicity import fit, score
+
+    documents = table(spark, sf_dir, "documents")
+    held_out = in_fold("doc_id", 5, 0)
+    labels = table(spark, sf_dir, "labels").where(~held_out & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    if fits_broadcast(labels, 64, 32 << 20):
+        labels = F.broadcast(labels)
+    model = fit(documents.select("doc_id", "text").join(labels, "doc_id"))
+    found = score(documents.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending"
+    )
