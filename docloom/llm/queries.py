@@ -65,3 +65,26 @@ def op2_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending"
     )
+
+
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.common import fits_broadcast
+    from docloom.llm.quality_classifier import fit, gumbel_top_k, weigh
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    targets = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    if fits_broadcast(targets, 64, 32 << 20):
+        targets = F.broadcast(targets)
+    weighted = weigh(documents, fit(documents, targets))
+    return gumbel_top_k(weighted.select("doc_id", "log_weight", "n_features"), 0.9)
+
+
+#: Fixed by the task: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op3_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.url_filter import judge
+
+    judged = judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "url_score")
