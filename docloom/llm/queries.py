@@ -88,3 +88,9 @@ def op3_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     judged = judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "url_score")
+
+
+def op6_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
