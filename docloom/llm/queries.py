@@ -94,3 +94,10 @@ def op6_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.sharding import shard
+
+    placed, _ = shard(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
