@@ -101,3 +101,13 @@ def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     placed, _ = shard(table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.secret_scan import joined, scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["strong"])
+    kinds = F.transform("spans", lambda x: x["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
