@@ -111,3 +111,10 @@ def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform("spans", lambda x: x["kind"])
     counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]  # noqa: B023
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op7_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.quality_rules import judge
+
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
