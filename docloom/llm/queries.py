@@ -118,3 +118,11 @@ def op7_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
+def op8_benchmark_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.decontamination import find_leaks, read_items
+
+    items = read_items(table(spark, sf_dir, "benchmark"))
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+    return found.select("doc_id", F.inline("leaks"))
