@@ -262,3 +262,20 @@ def cross_pairs(candidates: DataFrame, labels: DataFrame | None, matches: int) -
         (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("a") < F.col("b"))) & (_collisions(F.col("signature_a"), F.col("signature_b")) >= matches)
     )
     return meets.select("a", "b").distinct()
+
+
+def without_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """``documents`` with one row for each component of near duplicates, that of the least id.
+
+    Rows with a null id all stay.  Where rows of one id are all marked (repeated rows), one of them stays.
+    Options are those of :func:`near_duplicates`.
+    """
+    judged = stored(near_duplicates(documents, id_col=id_col, **options), "judged")
+    dropped = judged.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    kept = documents.join(dropped, documents[id_col].cast("long") == dropped["__id"], "left_anti")
+    repeated = judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    ids = repeated.select(F.col("doc_id").alias("__id"))
+    once = kept.join(ids, kept[id_col].cast("long") == ids["__id"], "left_semi").dropDuplicates([id_col])
+    return kept.join(ids, kept[id_col].cast("long") == ids["__id"], "left_anti").unionByName(once)
