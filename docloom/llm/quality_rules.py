@@ -34,10 +34,10 @@ class Rule:
 
 
 RULES = (
-    Rule("word_length", "word_chars / n_words", 6.0, 0.25, True),
-    Rule("symbols", "n_symbols / n_words", 4.0, 0.025),
+    Rule("word_length", "try_divide(word_chars, n_words)", 6.0, 0.25, True),
+    Rule("symbols", "try_divide(n_symbols, n_words)", 4.0, 0.025),
     Rule("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", 4.0, 0.15),
-    Rule("repeated_words", "n_repeat_words / n_words", 4.0, 0.1),
+    Rule("repeated_words", "try_divide(n_repeat_words, n_words)", 4.0, 0.1),
 )
 
 
@@ -142,9 +142,7 @@ def judge(documents: DataFrame, *, text_col: str = "text", language_col: str = "
     if limits is None:
         return keyed.withColumn("failed_rules", F.array().cast("array<string>")).withColumn("kept", ~F.col("base_failed")).drop("g1", "g2")
     joined = keyed.join(limits, ["g1", "g2"], "left")
-    failed = [
-        F.when(~F.coalesce(F.expr(f"try_divide(1, n_words) IS NULL OR ({r.measure}) BETWEEN low_{r.name} AND high_{r.name}"), F.lit(True)), F.lit(r.name)) for r in rules
-    ]
+    failed = [F.when(~F.expr(f"coalesce({r.measure} BETWEEN low_{r.name} AND high_{r.name}, true)"), F.lit(r.name)) for r in rules]
     out = joined.withColumn("failed_rules", F.array_compact(F.array(*failed)))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
     return out.drop("g1", "g2", *[f"{side}_{r.name}" for r in rules for side in ("low", "high")])
