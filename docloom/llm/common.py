@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.workers import on_workers as importable
+
 #: The six ASCII characters that separate words.
 ASCII_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 _SPACE_TO_BLANK = str.maketrans({c: " " for c in ASCII_SPACE[1:]})
@@ -47,13 +48,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of an Arrow batch, unless the session has a smaller bound: a worker holds a few batches at a time.
+BATCH_BYTES = 8 << 20
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package where it isn't installed: its parent goes on their path."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in have:
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, *have) if x)
+    """Let Python workers import this package, in batches of bounded size."""
+    importable(spark)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(bound, "67108864b"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(bound, str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
@@ -107,7 +112,7 @@ def fits_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int) -> bool:
 class WordCodes(dict):
     """Word -> code, remembered; emptied when it holds ``limit`` words."""
 
-    def __init__(self, code, limit: int = 500_000) -> None:
+    def __init__(self, code, limit: int = 200_000) -> None:
         super().__init__()
         self.code, self.limit = code, limit
 
