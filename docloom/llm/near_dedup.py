@@ -109,15 +109,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             good = []
-            last, left = None, None
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                n, m = len(x) // _SET_BYTES, len(y) // _SET_BYTES
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):  # two sets at a time
+                left, right = x.as_py(), y.as_py()
+                n, m = len(left) // _SET_BYTES, len(right) // _SET_BYTES
                 if 100 * min(n, m) < percent * max(n, m):
                     good.append(False)
                     continue
-                if x is not last:
-                    last, left = x, _unpacked(x)
-                both = len(np.intersect1d(left, _unpacked(y)))
+                both = len(np.intersect1d(_unpacked(left), _unpacked(right)))
                 good.append(100 * both >= percent * (n + m - both))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
@@ -253,14 +251,15 @@ def _outsiders(candidates: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def cross_pairs(candidates: DataFrame, labels: DataFrame | None, matches: int) -> DataFrame:
-    """Pairs (a, b) of different components with enough collisions that meet in a posting list."""
-    posted = _labelled(candidates, labels).select("node", "label", "signature", F.explode("prefix").alias("value"))
+    """Pairs (a, b) of different components with enough collisions that meet in a posting list, each from the
+    least value of both prefixes alone."""
+    posted = _labelled(candidates, labels).select("node", "label", "signature", "prefix", F.explode("prefix").alias("value"))
     mixed = posted.join(_outsiders(candidates, labels).select("value", "largest"), "value")
-    outside = mixed.where("label <> largest").select("value", "largest", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("signature").alias("signature_a"))
-    inside = mixed.select("value", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("signature").alias("signature_b"))
-    meets = outside.join(inside, "value").where(
-        (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("a") < F.col("b"))) & (_collisions(F.col("signature_a"), F.col("signature_b")) >= matches)
-    )
+    outside = mixed.where("label <> largest").select("value", "largest", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("signature").alias("signature_a"), F.col("prefix").alias("prefix_a"))
+    inside = mixed.select("value", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("signature").alias("signature_b"), F.col("prefix").alias("prefix_b"))
+    other = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("a") < F.col("b")))
+    first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("value")
+    meets = outside.join(inside, "value").where(other & first & (_collisions(F.col("signature_a"), F.col("signature_b")) >= matches))
     return meets.select("a", "b").distinct()
 
 
