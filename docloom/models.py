@@ -11,6 +11,7 @@ from typing import Protocol, runtime_checkable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docloom.schema import DETECTION
 from docloom.workers import on_workers
@@ -102,6 +103,58 @@ def recognize_formulas(targets: DataFrame, factory: Callable[[], FormulaModel])
     return targets.groupBy("doc_id", "bucket_no", "batch_no").applyInPandas(run, schema)
 
 
+def recognize_text(crops: DataFrame, factory: Callable[[], OcrModel], *, batch_size: int = 64) -> DataFrame:
+    """Adds ``lines, scores`` to crops with ``image``; a missing picture has none."""
+    on_workers(crops.sparkSession)
+
+    @F.pandas_udf("struct<lines:array<string>,scores:array<double>>")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = resident(factory)
+        for images in batches:
+            out: list[tuple[list[str], list[float]]] = []
+            for at in range(0, len(images), batch_size):
+                part = images.iloc[at : at + batch_size]
+                found = iter(model.read([x for x in part if x is not None]))
+                out += [next(found) if x is not None else ([], []) for x in part]
+            yield pd.DataFrame(out, columns=["lines", "scores"])
+
+    return crops.withColumn("__ocr", read("image")).withColumns({"lines": F.col("__ocr.lines"), "scores": F.col("__ocr.scores")}).drop("__ocr")
+
+
+def structure_tables(targets: DataFrame, factory: Callable[[], TableModel], *, batch_size: int = 8) -> DataFrame:
+    """Adds ``polygons, logic`` to targets with ``image``; null for a missing picture and for a batch in which the model raises."""
+    on_workers(targets.sparkSession)
+
+    @F.pandas_udf("struct<polygons:array<array<double>>,logic:array<array<int>>>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = resident(factory)
+        for images in batches:
+            out: list[tuple] = []
+            for at in range(0, len(images), batch_size):
+                part = list(images.iloc[at : at + batch_size])
+                try:
+                    found = iter(model.structure([x for x in part if x is not None]))
+                    out += [next(found) if x is not None else (None, None) for x in part]
+                except Exception:
+                    out += [(None, None)] * len(part)
+            yield pd.DataFrame(out, columns=["polygons", "logic"])
+
+    return targets.withColumn("__t", find("image")).withColumns({"polygons": F.col("__t.polygons"), "logic": F.col("__t.logic")}).drop("__t")
+
+
+def converted(images: DataFrame, convert: Callable[[bytes, str], bytes], *, column: str = "image", image_format: str = "png") -> DataFrame:
+    """Pictures decoded, cut or encoded by ``convert(content, format)``; formats are jpeg and png."""
+    if image_format not in ("jpeg", "png"):
+        raise ValueError(f"unknown image format {image_format!r}")
+    on_workers(images.sparkSession)
+
+    @F.pandas_udf("binary")
+    def run(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda x: None if x is None else convert(bytes(x), image_format))
+
+    return images.withColumn(column, run(column))
+
+
 def _digest(content: bytes) -> int:
     return int.from_bytes(hashlib.sha256(bytes(content)).digest()[:8], "big")
 

@@ -25,17 +25,18 @@ class Extracted:
     rejected: DataFrame
 
 
-def text_in_boxes(detections: DataFrame, spans: DataFrame, pages: DataFrame) -> DataFrame:
-    """``text`` of each detection: the spans of its page whose centre lies in its box, in order.
+def text_in_boxes(boxes: DataFrame, spans: DataFrame, pages: DataFrame, by: tuple[str, ...] = ("det_idx",)) -> DataFrame:
+    """``text`` of each box: the spans of its page whose centre lies in it, in order, joined by single blanks.
 
-    An equi-join on the page carries the range predicate; spans have ``span_idx, text, x, y, w, h`` in points.
+    An equi-join on the page carries the range predicate; spans have ``span_idx, text, x, y, w, h`` in points, pages
+    ``dpi, height_pt``.  ``by`` tells the boxes of a page apart.
     """
     key = ["doc_id", "page_idx"]
-    placed = detections.join(pages.select(*key, "dpi", "height_pt"), key)
+    placed = boxes.join(pages.select(*key, "dpi", "height_pt"), key)
     placed = placed.withColumn("region", pdf_region(F.col("bbox"), F.col("dpi"), F.col("height_pt")))
-    inside = placed.select(*key, "det_idx", "region").join(spans.withColumnRenamed("text", "span_text"), key).where(holds_centre(F.col("region"), F.col("x"), F.col("y"), F.col("w"), F.col("h")))
-    texts = inside.groupBy(*key, "det_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("span_idx", "span_text"))), lambda s: s["span_text"]).alias("texts"))
-    return detections.drop("text").join(texts.select(*key, "det_idx", joined_spans(F.col("texts")).alias("text")), [*key, "det_idx"], "left")
+    inside = placed.select(*key, *by, "region").join(spans.withColumnRenamed("text", "span_text"), key).where(holds_centre(F.col("region"), F.col("x"), F.col("y"), F.col("w"), F.col("h")))
+    texts = inside.groupBy(*key, *by).agg(F.transform(F.array_sort(F.collect_list(F.struct("span_idx", "span_text"))), lambda s: s["span_text"]).alias("texts"))
+    return boxes.drop("text").join(texts.select(*key, *by, joined_spans(F.col("texts")).alias("text")), [*key, *by], "left")
 
 
 def extract(
@@ -47,13 +48,15 @@ def extract(
     formulas: Callable[[DataFrame], DataFrame] | None = None,
     tables: Callable[[DataFrame], DataFrame] | None = None,
     make_citation_client: Callable[[], citations.CitationClient] | None = None,
+    spans: DataFrame | None = None,
 ) -> Extracted:
     """Runs the stages that ``settings`` switches on.
 
     ``documents``: doc_id, metadata, language, digital_born.  ``pages``: doc_id, page_idx, width_px, height_px.
     ``detections``: doc_id, page_idx, det_idx, label, confidence, bbox, text and optionally order_seq.
     ``formulas`` gets batched targets and gives ``latex`` by block; ``tables`` gets targets and gives
-    ``polygons, logic`` by block.  Stages that are off add nothing to the plan.
+    ``polygons, logic`` by block.  With ``spans`` (and ``dpi, height_pt`` of pages) cells get the text that lies in
+    them.  Stages that are off add nothing to the plan.
     """
     settings = settings or PipelineSettings()
     accepted, rejected = routing.split_scanned(documents, settings.scanned_enabled)
@@ -70,19 +73,19 @@ def extract(
         targets = blocks.table_targets(built, settings.table_min_side_px).where("large_enough")
         sized = tables(targets).join(pages.select("doc_id", "page_idx", "width_px", "height_px"), ["doc_id", "page_idx"])
         cells = stages.table_cells(sized)
-        if "text" in cells.columns:
-            cells = cells.drop("text")
-        cells = cells.select(*key, "cell_idx", "row_start", "row_end", "col_start", "col_end", F.col("cell_bbox").alias("bbox"), F.lit(None).cast("string").alias("text"))
+        bounds = ["row_start", "row_end", "col_start", "col_end"]
+        cells = cells.select(*key, "cell_idx", *bounds, F.col("cell_bbox").alias("bbox"))
+        cells = text_in_boxes(cells, spans, pages, ("block_idx", "cell_idx")) if spans is not None else cells.withColumn("text", F.lit(None).cast("string"))
         lists = assemble.nest_cells(targets.select(*key), cells).withColumn("cells", stages.structured(F.col("cells"))).where("cells IS NOT NULL")
         shape = stages.table_shape(F.col("cells"))
         built = blocks.spliced(built, lists.withColumns({"n_rows": shape["n_rows"], "n_cols": shape["n_cols"]}), ["cells", "n_rows", "n_cols"])
 
     if settings.formula_enabled and formulas is not None:
-        bounds = stages.checked_buckets(
+        buckets = stages.checked_buckets(
             settings.formula_bucket_small_threshold, settings.formula_bucket_medium_threshold, settings.formula_bucket_small_tokens, settings.formula_bucket_medium_tokens, settings.formula_max_new_tokens
         )
-        bounds = bounds if settings.formula_bucketed else bounds[-1:]
-        targets = stages.batched(stages.bucketed(blocks.formula_targets(built), bounds), settings.formula_batch_size)
+        buckets = buckets if settings.formula_bucketed else buckets[-1:]
+        targets = stages.batched(stages.bucketed(blocks.formula_targets(built), buckets), settings.formula_batch_size)
         done = stages.finished_formulas(targets.drop("latex").join(formulas(targets).select(*key, "latex"), key, "left"), tuple(settings.bundle_miss_images_for))
         built = blocks.spliced(built, done, ["text", "miss", "image_path"])
 

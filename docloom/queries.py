@@ -663,3 +663,78 @@ def OP134_reference_stage(spark, d):
 
     rows = table(spark, d, "benchmark").select(F.expr("item_id div 8").alias("doc_id"), F.lit(0).alias("page_idx"), (F.col("item_id") % 8).cast("int").alias("block_idx"), F.col("text").alias("citation"))
     return references(rows, FakeCitations).select("doc_id", "block_idx", "reference.title")
+
+
+@query("SELECT doc_id, source AS title, lang AS venue, '2020' AS year, doc_id || '-' || (doc_id + 9) AS pages, 'Ada ' || source AS author, '10.1/' || doc_id AS doi FROM documents")
+def OP112_OP118_citation_xml(spark, d):
+    from docloom.operators.citations import parsed_references
+    from docloom.workers import on_workers
+
+    on_workers(spark)
+    form = (
+        '<TEI xmlns="http://www.tei-c.org/ns/1.0"><biblStruct><analytic><title level="a"> <hi>%s</hi></title><author><persName><forename>Ada</forename><surname>%s</surname></persName></author>'
+        '<idno type="doi">10.1/%s</idno></analytic><monogr><title level="j">%s</title><imprint><biblScope unit="page" from="%s" to="%s"/><date when="2020-05"/></imprint></monogr></biblStruct></TEI>'
+    )
+    number, last = F.col("doc_id").cast("string"), (F.col("doc_id") + 9).cast("string")
+    xml = F.format_string(form, "source", "source", number, "lang", number, last)
+    r = F.get("references", 0)
+    return table(spark, d, "documents").select("doc_id", parsed_references(xml).alias("references")).select("doc_id", r["title"].alias("title"), r["venue"].alias("venue"), r["year"].alias("year"), r["pages"].alias("pages"), F.get(r["authors"], 0)["name"].alias("author"), r["doi"].alias("doi"))
+
+
+@query("SELECT n_nationkey, n_name AS title, 1 AS entries FROM nation")
+def OP108_OP109_metadata_values(spark, d):
+    wrapped = F.concat(F.lit("\u00fe\u00ff"), F.decode(F.encode("n_name", "UTF-16BE"), "ISO-8859-1"))
+    info = X.clean_metadata_map(F.create_map(F.lit("title"), wrapped, F.lit("empty"), F.lit("\x00")))
+    return table(spark, d, "nation").select("n_nationkey", info.alias("i")).select("n_nationkey", F.col("i")["title"].alias("title"), F.size("i").alias("entries"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice < 100000 THEN '--' ELSE printf('%.2f', 1.5) END AS shown FROM orders")
+def OP123_shown(spark, d):
+    from docloom.sources.reports import shown
+
+    return table(spark, d, "orders").select("o_orderkey", shown(F.when(F.col("o_totalprice") < 100000, 0.004).otherwise(1.5)).alias("shown"))
+
+
+@query("SELECT o_orderkey, o_totalprice * 0.01::DOUBLE AS o_totalprice FROM orders")
+def OP151_scaled(spark, d):
+    from docloom.sources.reports import scaled
+
+    return scaled(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], 0.01)
+
+
+@query("SELECT page_id, page_id % 3 <> 0 AS found, CASE WHEN page_id % 3 = 0 THEN 'file not found' ELSE '' END AS reason FROM pages")
+def OP153_missing_files(spark, d):
+    from docloom.sources.files import with_missing
+
+    wanted = table(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("filename"))
+    good, bad = with_missing(wanted, wanted.where("page_id % 3 <> 0").select("filename", F.lit(1).alias("byte_size")))
+    return good.select("page_id", F.lit(True).alias("found"), F.lit("").alias("reason")).unionByName(bad.select("page_id", F.lit(False).alias("found"), "reason"))
+
+
+@query()
+def OP89_OP135_formula_stage(spark, d):
+    """Formula targets in batches through the stand-in model, spliced back into their blocks."""
+    from docloom.models import FakeFormula, recognize_formulas
+
+    rows = page_blocks(spark, d)
+    targets = stages.batched(stages.bucketed(blocks.formula_targets(rows)), 4)
+    crops = targets.withColumn("image", F.when(F.col("block_idx") > 0, F.col("image_path").cast("binary"))).select("doc_id", "page_idx", "block_idx", "bucket_no", "batch_no", "place", "max_tokens", "image_path", "image")
+    done = stages.finished_formulas(recognize_formulas(crops, FakeFormula), ("formula",))
+    return blocks.spliced(rows, done, ["text", "miss", "image_path"]).where("type = 'formula'").select("doc_id", "page_idx", "block_idx", "text", "miss", "image_path")
+
+
+@query()
+def OP136_table_stage(spark, d):
+    """The whole plan with the table stage on: the stand-in grid, and spans as the cells' texts."""
+    from docloom.config import PipelineSettings
+    from docloom.models import FakeTable, structure_tables
+    from docloom.plans.document_pipeline import extract
+
+    found = detections(spark, d)
+    sized = pages(spark, d).withColumns({"dpi": F.lit(72), "height_pt": F.lit(1000.0)})
+    b = F.col("bbox")
+    spans = found.select("doc_id", "page_idx", F.col("det_idx").alias("span_idx"), F.col("label").alias("text"), b["x1"].alias("x"), (1000 - b["y1"] - 10).alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"))
+    facts = sized.select("doc_id").distinct().select("doc_id", F.lit(None).cast("struct<filename:string,sha256:string,byte_size:bigint,pdf_info:map<string,string>>").alias("metadata"), F.lit("en").alias("language"), F.lit(True).alias("digital_born"))
+    settings = PipelineSettings(table_enabled=True, table_min_side_px=60, layout_confidence=0.2)
+    run = extract(facts, sized, found, settings, tables=lambda t: structure_tables(t.withColumn("image", F.lit("crop").cast("binary")), FakeTable), spans=spans)
+    return assemble.cells_of(run.blocks.where("cells IS NOT NULL")).select("doc_id", "page_idx", "block_idx", "cell_idx", "row_start", "col_start", "text")

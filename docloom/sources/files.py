@@ -40,6 +40,12 @@ def scan_documents(spark: SparkSession, path: str, pattern: str = "*.pdf") -> Da
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("byte_size"), "content")
 
 
+def with_missing(wanted: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Wanted ``filename``s that were found, with the file's columns, and the others with a reason."""
+    found = wanted.join(files, "filename")
+    return found, wanted.join(files.select("filename"), "filename", "left_anti").withColumn("reason", F.lit("file not found"))
+
+
 def with_metadata(files: DataFrame, read_info: Callable[[bytes], dict[str, str]] | None = None) -> DataFrame:
     """``metadata`` of each file.  ``read_info`` gives a PDF's information; where it raises, there is none."""
     info = F.create_map().cast("map<string,string>")

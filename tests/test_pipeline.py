@@ -102,3 +102,37 @@ def test_landing(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.length for r in got.collect()) == [1, 2, 3]
     assert got.select("batch").distinct().count() == 3
+
+
+def test_reports(spark):
+    from docloom.sources.reports import flattened, markdown, scaled
+
+    rows = spark.createDataFrame(
+        [("a", 0, "8", "ok", 2.0, {"blocks": 1.23456}, (1.0, 2.0, 3.0, 4.0)), ("a", 1, "16", "ok", 1.0, {}, (1.0, 2.0, 3.0, 4.0)), ("a", 2, "32", "error", 9.0, None, None)],
+        "benchmark string, ord int, value string, status string, wall_s double, stages map<string,double>, cpu_pct struct<min:double,median:double,p95:double,max:double>",
+    )
+    flat = flattened(rows, ["blocks"], ["cpu_pct"]).orderBy("ord").collect()
+    assert (flat[0].stage_blocks_s, flat[0].cpu_pct_med, flat[1].stage_blocks_s) == (1.235, 2.0, None)
+    assert "| a | 16 | 1.00 | 8 | 2.00 | 2.00 |" in markdown(rows) and "Failed: a (1)" in markdown(rows)
+    with pytest.raises(ValueError, match="nope"):
+        scaled(rows, ["nope"], 0.01)
+
+
+def test_models_survive_missing_pictures(spark):
+    from docloom.models import FakeLayout, FakeOcr, converted, detect, recognize_text, structure_tables
+
+    rows = spark.createDataFrame([(1, 0, bytearray(b"a")), (1, 1, None)], "doc_id long, page_idx int, image binary")
+    got = recognize_text(rows, FakeOcr).orderBy("page_idx").collect()
+    assert len(got[0].lines) == 1 and got[1].lines == []
+    assert [r.polygons is None for r in structure_tables(rows, FakeTable).orderBy("page_idx").collect()] == [False, True]
+
+    class Broken:
+        def structure(self, _):
+            raise RuntimeError
+
+    assert all(r.polygons is None for r in structure_tables(rows, Broken).collect())
+    found = detect(rows.where("page_idx = 0"), FakeLayout).collect()
+    assert found[0].label == "text" and found[0].det_idx == 0
+    assert converted(rows, lambda c, f: c + f.encode()).orderBy("page_idx").first().image == b"apng"
+    with pytest.raises(ValueError):
+        converted(rows, lambda c, f: c, image_format="gif")
