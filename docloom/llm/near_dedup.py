@@ -104,7 +104,7 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) with 100 * intersection >= percent * union."""
+    """``a, b``: the labels of those pairs (``node_a, node_b, a, b``) with 100 * intersection >= percent * union."""
 
     def run(batches):
         for batch in batches:
@@ -120,16 +120,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    a, b = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-    joined = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
+    joined = pairs.join(sets.toDF("node_a", "set_a"), "node_a").join(sets.toDF("node_b", "set_b"), "node_b").select("a", "b", "set_a", "set_b")
     return map_arrow(joined, run, "a binary, b binary")
 
 
+def forest(parents: DataFrame) -> DataFrame:
+    """``node, label``: the root above each node of (a, its parent b), where parents never lead back.
+
+    Every step doubles the distance looked up.
+    """
+    above = stored(parents.toDF("node", "label"), "parents")
+    while True:
+        higher = above.toDF("label", "up")
+        step = stored(above.join(higher, "label", "left").select("node", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")), "parents")
+        above = step.select("node", "label")
+        if step.where("moved").isEmpty():
+            return above
+
+
+def merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``labels`` carried on by ``new``, whose nodes are labels."""
+    if labels is None:
+        return new
+    on = labels.join(new.toDF("label", "top"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return stored(on.unionByName(new.where("node <> label")), "labels")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of the undirected edges (a, b): the least node it reaches.
 
     Labels go along edges and then to the label's own label, until none changes.
     """
+    edges = stored(edges, "edges")
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
@@ -147,10 +169,10 @@ def _collisions(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _labelled(candidates: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return candidates.withColumn("label", F.col("node"))
-    return candidates.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return nodes.withColumn("label", F.col("node"))
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def near_duplicates(
@@ -194,52 +216,47 @@ def near_duplicates(
     texts = documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").cast("binary").alias("text"))
     sets = stored(shingle_sets(texts.join(candidates.select("rep", "node"), "rep").select("text", "node"), words).dropDuplicates(["node"]), "sets")
 
-    labels, edges = None, None
+    lists = stored(candidates.select("node", "signature", "prefix", F.explode("prefix").alias("value")), "postings")
+    labels, n_classes = None, classes.count()
     for turn in range(rounds):
-        posted = _labelled(candidates, labels).select("node", "label", "signature", F.explode("prefix").alias("value"))
+        posted = _labelled(lists.drop("prefix"), labels)
         order = F.xxhash64(F.col("node"), F.lit(turn))
         centers = posted.groupBy("value").agg(
-            F.min_by(F.struct("node", "label", "signature"), order).alias("center"), (F.min("label") != F.max("label")).alias("mixed")
+            F.min_by(F.struct("node", "label", "signature"), F.struct(order, F.col("node"))).alias("center"), (F.min("label") != F.max("label")).alias("mixed")
         )
         stars = (
             posted.join(centers.where("mixed").drop("mixed"), "value")
             .where("node <> center.node AND label <> center.label")
-            .select("node", F.col("center.node").alias("center"), _collisions(F.col("signature"), F.col("center.signature")).alias("hits"))
+            .select("node", "label", F.col("center.node").alias("center"), F.col("center.label").alias("up"), _collisions(F.col("signature"), F.col("center.signature")).alias("hits"))
             .where(F.col("hits") >= matches)
             .groupBy("node")
-            .agg(F.max_by("center", F.struct("hits", "center")).alias("center"))
+            .agg(F.max_by(F.struct("label", "center", "up"), F.struct("hits", "center")).alias("s"))
         )
-        found = stored(confirmed(stars.toDF("a", "b"), sets, percent), "stars")
-        grew = not found.isEmpty()
-        if grew:
-            edges = found if edges is None else edges.union(found)
-            labels = components(edges)
-        tally = _outsiders(candidates, labels).agg(F.sum(F.col("size") - F.col("largest_size")), F.sum((F.col("size") - F.col("largest_size")) * F.col("size"))).first()
-        if not grew or not tally[0] or tally[1] <= 50 * tally[0]:
+        found = confirmed(stars.select(F.col("node").alias("node_a"), F.col("s.center").alias("node_b"), F.col("s.label").alias("a"), F.col("s.up").alias("b")), sets, percent)
+        # a center comes before its members in the order, so the first round's stars are a forest
+        grown = forest(found) if turn == 0 else components(found)
+        labels = merged(labels, grown)
+        mixed = stored(_outsiders(lists, labels), "mixed")
+        compared = mixed.agg(F.sum((F.col("size") - F.col("largest_size")) * F.col("size")).alias("n")).first()["n"] or 0
+        if compared <= 100 * n_classes or grown.isEmpty():
             break
 
-    rest = cross_pairs(candidates, labels, matches)
-    found = stored(confirmed(rest, sets, percent), "links")
-    if not found.isEmpty():
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
+    if compared:
+        labels = merged(labels, components(confirmed(cross_pairs(lists, labels, mixed, matches), sets, percent)))
 
     nodes = classes.select("node", "rep", "copies")
     grouped = _labelled(nodes, labels)
-    if labels is not None:
-        least = grouped.join(labels.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("rep").alias("component_id"))
-        grouped = grouped.join(least, "label", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
-    else:
-        grouped = grouped.withColumn("component_id", F.col("rep"))
+    least = grouped.join(labels.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("rep").alias("component_id"))
+    grouped = grouped.join(least, "label", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
     grouped = grouped.where("copies > 1 OR component_id <> rep").select(F.col("node").alias("digest"), "component_id")
     out = feats.select("doc_id", "n_shingles", "digest").join(grouped, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _outsiders(candidates: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _outsiders(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``value, largest, largest_size, size`` of the posting lists that hold several components."""
-    posted = _labelled(candidates, labels).select("label", F.explode("prefix").alias("value"))
+    posted = _labelled(postings.select("node", "value"), labels)
     return (
         posted.groupBy("value", "label")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -250,17 +267,16 @@ def _outsiders(candidates: DataFrame, labels: DataFrame | None) -> DataFrame:
     )
 
 
-def cross_pairs(candidates: DataFrame, labels: DataFrame | None, matches: int) -> DataFrame:
-    """Pairs (a, b) of different components with enough collisions that meet in a posting list, each from the
+def cross_pairs(postings: DataFrame, labels: DataFrame | None, lists: DataFrame, matches: int) -> DataFrame:
+    """Pairs (node_a, node_b, and their labels a, b) of different components with enough collisions that meet in a posting list, each from the
     least value of both prefixes alone."""
-    posted = _labelled(candidates, labels).select("node", "label", "signature", "prefix", F.explode("prefix").alias("value"))
-    mixed = posted.join(_outsiders(candidates, labels).select("value", "largest"), "value")
-    outside = mixed.where("label <> largest").select("value", "largest", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("signature").alias("signature_a"), F.col("prefix").alias("prefix_a"))
-    inside = mixed.select("value", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("signature").alias("signature_b"), F.col("prefix").alias("prefix_b"))
-    other = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("a") < F.col("b")))
+    mixed = _labelled(postings, labels).join(lists.select("value", "largest"), "value")
+    outside = mixed.where("label <> largest").select("value", "largest", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "signature", "prefix")])
+    inside = mixed.select("value", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "signature", "prefix")])
+    other = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("node_a") < F.col("node_b")))
     first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("value")
     meets = outside.join(inside, "value").where(other & first & (_collisions(F.col("signature_a"), F.col("signature_b")) >= matches))
-    return meets.select("a", "b").distinct()
+    return meets.select("node_a", "node_b", F.col("label_a").alias("a"), F.col("label_b").alias("b"))
 
 
 def without_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
