@@ -220,13 +220,17 @@ def near_duplicates(
     labels, n_classes = None, classes.count()
     for turn in range(rounds):
         posted = _labelled(lists.drop("prefix"), labels)
-        order = F.xxhash64(F.col("node"), F.lit(turn))
-        centers = posted.groupBy("value").agg(
-            F.min_by(F.struct("node", "label", "signature"), F.struct(order, F.col("node"))).alias("center"), (F.min("label") != F.max("label")).alias("mixed")
-        )
+        order = F.struct(F.xxhash64(F.col("node"), F.lit(turn)), F.col("node"))
+        center = F.min_by(F.struct("node", "label", "signature"), order).alias("center")
+        if turn == 0:
+            centers = posted.groupBy("value").agg(center)
+        else:  # now only those outside of a list's largest component are compared, with one of its members
+            posted = posted.join(mixed.select("value", "largest"), "value")
+            centers = posted.where("label = largest").groupBy("value").agg(center)
+            posted = posted.where("label <> largest")
         stars = (
-            posted.join(centers.where("mixed").drop("mixed"), "value")
-            .where("node <> center.node AND label <> center.label")
+            posted.join(centers, "value")
+            .where("label <> center.label")
             .select("node", "label", F.col("center.node").alias("center"), F.col("center.label").alias("up"), _collisions(F.col("signature"), F.col("center.signature")).alias("hits"))
             .where(F.col("hits") >= matches)
             .groupBy("node")
