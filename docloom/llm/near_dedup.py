@@ -10,7 +10,8 @@
    as many pairs as members); confirmed links make components.  Then only members of different
    components still need comparison: lists within one component are skipped, in the others the members
    outside the list's largest component meet the rest.  A group of many near copies so never meets itself.
-4. Every link is confirmed on the full shingle sets.
+4. Candidates get a longer sketch, by which pairs far below the threshold are told without their sets.
+   Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import WordCodes, map_arrow, stored
 
 _MIX = np.random.default_rng(20_240_601).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_WIDE = np.random.default_rng(20_240_602).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SET_BYTES = 5  # of a shingle's hash, where sets are compared
 
@@ -51,14 +53,30 @@ class Shingles:
         return np.unique(mixed ^ (mixed >> np.uint64(31)))
 
 
+def _minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least value under each permutation, some of them at a time: memory is bounded by the text."""
+    step = max(1, (1 << 19) // len(shingles))
+    low = np.concatenate([((shingles[None, :] ^ b[i : i + step, None]) * a[i : i + step, None]).min(axis=1) for i in range(0, len(a), step)])
+    return (low ^ (low >> np.uint64(32))) * _C1
+
+
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     """Minima under ``coordinates`` permutations, the coordinate's number in the lowest bits."""
-    a, b = _MIX[:coordinates, None], _MIX[::-1][:coordinates, None]
-    low = ((shingles[None, :] ^ b) * a).min(axis=1)
-    low = (low ^ (low >> np.uint64(32))) * _C1
+    low = _minima(shingles, _MIX[:coordinates], _MIX[::-1][:coordinates])
     return ((low & ~np.uint64(63)) | np.arange(coordinates, dtype=np.uint64)).view(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """One byte of each of 256 further minima."""
+    return (_minima(shingles, _WIDE, _WIDE[::-1]) >> np.uint64(56)).astype(np.uint8).view(np.int8)
+
+
+def sketch_matches(percent: int) -> int:
+    """Equal bytes that a pair at the threshold has but for a chance of about 1e-7."""
+    p = percent / 100
+    return int(len(_WIDE) * p - 5.3 * (len(_WIDE) * p * (1 - p)) ** 0.5)
+
+
 def features(documents: DataFrame, id_col: str, text_col: str, words: int, coordinates: int) -> DataFrame:
     """``doc_id, n_shingles, digest`` (null: empty set) and ``signature`` of each row."""
 
@@ -80,20 +98,22 @@ def features(documents: DataFrame, id_col: str, text_col: str, words: int, coord
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """``node`` (digest) and its set, the highest bytes of each hash, from (text as binary, node)."""
+    """``node`` (digest), its set (the highest bytes of each hash) and its ``sketch``, from (text as binary, node)."""
 
     def run(batches):
         shingles = Shingles(words)
         for batch in batches:
-            nodes, sets = [], []
+            nodes, sets, sketches = [], [], []
             for text, node in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 s = shingles.of(text.as_py())
                 if xxhash.xxh3_128_digest(s.tobytes()) == node:  # an id may have several texts
                     nodes.append(node)
+                    sketches.append(sketch(s))
                     sets.append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 8 - _SET_BYTES :]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            columns = [pa.array(nodes, pa.binary()), pa.array(sets, pa.binary()), pa.array(sketches, pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "sketch"])
 
-    return map_arrow(texts, run, "node binary, shingles binary")
+    return map_arrow(texts, run, "node binary, shingles binary, sketch array<tinyint>")
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
@@ -206,22 +226,24 @@ def near_duplicates(
     prefixes = (
         postings.join(shared, "value")
         .groupBy("node")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("lists"))  # at most one entry a coordinate
+        .agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("lists"), F.sum("n").alias("weight"))  # one entry a coordinate
         .where(F.size("lists") >= matches)
-        .select("node", F.expr(f"slice(lists, 1, size(lists) - {matches - 1}).value").alias("prefix"))
+        .select("node", "weight", F.expr(f"slice(lists, 1, size(lists) - {matches - 1}).value").alias("prefix"))
     )
-    short = F.transform("signature", lambda x: F.pmod(F.shiftright(x, 6), F.lit(32749)).cast("short"))
-    candidates = stored(prefixes.join(classes, "node").select("node", "rep", "prefix", short.alias("signature")), "candidates")
+    candidates = stored(prefixes.join(classes.select("node", "rep"), "node"), "candidates")
 
     texts = documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").cast("binary").alias("text"))
     sets = stored(shingle_sets(texts.join(candidates.select("rep", "node"), "rep").select("text", "node"), words).dropDuplicates(["node"]), "sets")
+    wide = candidates.join(sets.select("node", "sketch", F.octet_length("shingles").alias("size")), "node")
+    sets = sets.select("node", "shingles")
 
-    lists = stored(candidates.select("node", "signature", "prefix", F.explode("prefix").alias("value")), "postings")
-    labels, n_classes = None, classes.count()
+    lists = stored(wide.select("node", "weight", "size", "sketch", "prefix", F.explode("prefix").alias("value")), "postings")
+    labels, n_classes, likely = None, classes.count(), sketch_matches(percent)
     for turn in range(rounds):
         posted = _labelled(lists.drop("prefix"), labels)
-        order = F.struct(F.xxhash64(F.col("node"), F.lit(turn)), F.col("node"))
-        center = F.min_by(F.struct("node", "label", "signature"), order).alias("center")
+        # the text that the others were copied from has the most frequent values; later any member will do
+        order = F.struct(-F.col("weight") if turn == 0 else F.xxhash64(F.col("node"), F.lit(turn)), F.col("node"))
+        center = F.min_by(F.struct("node", "label", "sketch"), order).alias("center")
         if turn == 0:
             centers = posted.groupBy("value").agg(center)
         else:  # now only those outside of a list's largest component are compared, with one of its members
@@ -231,8 +253,8 @@ def near_duplicates(
         stars = (
             posted.join(centers, "value")
             .where("label <> center.label")
-            .select("node", "label", F.col("center.node").alias("center"), F.col("center.label").alias("up"), _collisions(F.col("signature"), F.col("center.signature")).alias("hits"))
-            .where(F.col("hits") >= matches)
+            .select("node", "label", F.col("center.node").alias("center"), F.col("center.label").alias("up"), _collisions(F.col("sketch"), F.col("center.sketch")).alias("hits"))
+            .where(F.col("hits") >= likely)
             .groupBy("node")
             .agg(F.max_by(F.struct("label", "center", "up"), F.struct("hits", "center")).alias("s"))
         )
@@ -246,7 +268,7 @@ def near_duplicates(
             break
 
     if compared:
-        labels = merged(labels, components(confirmed(cross_pairs(lists, labels, mixed, matches), sets, percent)))
+        labels = merged(labels, components(confirmed(cross_pairs(lists, labels, mixed, percent), sets, percent)))
 
     nodes = classes.select("node", "rep", "copies")
     grouped = _labelled(nodes, labels)
@@ -271,15 +293,17 @@ def _outsiders(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     )
 
 
-def cross_pairs(postings: DataFrame, labels: DataFrame | None, lists: DataFrame, matches: int) -> DataFrame:
-    """Pairs (node_a, node_b, and their labels a, b) of different components with enough collisions that meet in a posting list, each from the
+def cross_pairs(postings: DataFrame, labels: DataFrame | None, lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node_a, node_b, and their labels a, b) of different components of fitting sizes and with enough equal sketch bytes that meet in a posting list, each from the
     least value of both prefixes alone."""
     mixed = _labelled(postings, labels).join(lists.select("value", "largest"), "value")
-    outside = mixed.where("label <> largest").select("value", "largest", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "signature", "prefix")])
-    inside = mixed.select("value", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "signature", "prefix")])
+    outside = mixed.where("label <> largest").select("value", "largest", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "size", "sketch", "prefix")])
+    inside = mixed.select("value", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "size", "sketch", "prefix")])
     other = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("node_a") < F.col("node_b")))
     first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("value")
-    meets = outside.join(inside, "value").where(other & first & (_collisions(F.col("signature_a"), F.col("signature_b")) >= matches))
+    sizes = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    likely = _collisions(F.col("sketch_a"), F.col("sketch_b")) >= sketch_matches(percent)
+    meets = outside.join(inside, "value").where(other & sizes & first & likely)
     return meets.select("node_a", "node_b", F.col("label_a").alias("a"), F.col("label_b").alias("b"))
 
 
