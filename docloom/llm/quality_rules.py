@@ -1,8 +1,8 @@
 """Quality rules with adaptive thresholds.
 
 Every text is measured in its own row.  Mergeable quantile sketches (KLL) of the measures are built
-for each language and source, for each language and for all; fences around the middle half of a
-group replace fixed cutoffs.  Small groups borrow from the next larger one.  The fences are joined
+for each language and source, for each language and for all; fences by the middle half and the upper
+tail of a group replace fixed cutoffs.  Small groups borrow from the next larger one.  The fences are joined
 to the measures, never to the texts.
 """
 
@@ -23,21 +23,27 @@ _FEW = 48
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects ``measure`` beyond ``width`` times the middle half's spread, at least ``floor``, above it
-    (and below it if ``both``)."""
+    """Rejects ``measure`` beyond ``width`` times the group's spread, at least ``floor``, above its middle half
+    (and below it if ``both``).
+
+    The spread is that of the middle half or, if greater, that from the median up to the quantile ``tail``: most
+    texts have nothing of what some rules count, and their middle half is 0.  The floor lets a single
+    symbol, repeated line in ten or repeated window pass in a short text of a group without any.
+    """
 
     name: str
     measure: str
     width: float
     floor: float
     both: bool = False
+    tail: float = 0.75
 
 
 RULES = (
     Rule("word_length", "try_divide(word_chars, n_words)", 6.0, 0.25, True),
-    Rule("symbols", "try_divide(n_symbols, n_words)", 4.0, 0.025),
-    Rule("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", 4.0, 0.15),
-    Rule("repeated_words", "try_divide(n_repeat_words, n_words)", 4.0, 0.1),
+    Rule("symbols", "try_divide(n_symbols, n_words)", 4.0, 0.005),
+    Rule("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", 4.0, 0.025, tail=0.9),
+    Rule("repeated_words", "try_divide(n_repeat_words, n_words)", 4.0, 0.03, tail=0.9),
 )
 
 
@@ -105,8 +111,8 @@ def fences(measures: DataFrame, *, group: list[str], rules: tuple[Rule, ...] = R
     def bounds(df: DataFrame, suffix: str) -> DataFrame:
         out = []
         for r in rules:
-            low, high = (F.kll_sketch_get_quantile_double(r.name, F.lit(q)) for q in (0.25, 0.75))
-            width = r.width * F.greatest(high - low, F.lit(r.floor))
+            low, middle, high, tail = (F.kll_sketch_get_quantile_double(r.name, F.lit(q)) for q in (0.25, 0.5, 0.75, r.tail))
+            width = r.width * F.greatest(high - low, tail - middle, F.lit(r.floor))
             out += [(low - width if r.both else F.lit(float("-inf"))).alias(f"low_{r.name}{suffix}"), (high + width).alias(f"high_{r.name}{suffix}")]
         return df.select(*[c for c in ("g1", "g2") if c in df.columns], F.col("rows").alias(f"rows{suffix}"), *out)
 

@@ -56,5 +56,19 @@ def test_thresholds_follow_the_group(spark):
     assert got[5001].base_failed and got[5004].base_failed and got[5003].kept
 
 
+def test_repeats_beyond_a_clean_group(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
+    lines = lambda n: [" ".join(word() for _ in range(10)) for _ in range(n)]
+    half = lambda: (lambda x: "\n".join([*x, *x[:3]]))(lines(9))
+    chant = lambda: " ".join([*(word() for _ in range(70)), *("la li lu".split() * 5)])
+    rows = [(i, "\n".join(lines(9)), "en", "news") for i in range(100)]
+    rows += [(1000 + i, half(), "en", "songs") for i in range(40)] + [(1100 + i, "\n".join(lines(9)), "en", "songs") for i in range(60)]
+    rows += [(5000, half(), "en", "news"), (5001, chant(), "en", "news")]
+    got = {r.doc_id: r for r in judge(frame(spark, rows)).collect()}
+    assert all(got[i].kept for i in range(100)) and all(got[i].kept for i in (*range(1000, 1040), *range(1100, 1160)))
+    assert "duplicate_lines" in got[5000].failed_rules and list(got[5001].failed_rules) == ["repeated_words"]
+
+
 def test_empty_table(spark):
     assert judge(frame(spark, [])).collect() == []
