@@ -54,15 +54,18 @@ class ItemShard:
         sizes = [len(x.question) + len(x.answer) for x in items]
         mean = sum(sizes) / len(sizes)
         postings: dict[int, list[tuple[int, float]]] = {}
-        self.question, self.answer = [], []
+        #: Run length and runs of each item's halves.
+        self.question: list[tuple[int, np.ndarray]] = []
+        self.answer: list[tuple[int, np.ndarray]] = []
         for i, item in enumerate(items):
             tf = Counter(vocabulary[w] for w in item.question + item.answer)
             weight = {t: idf[t] * n * (k1 + 1) / (n + k1 * (1 - b + b * sizes[i] / mean)) for t, n in tf.items()}
             own = sum(weight.values())
             for t, x in weight.items():
                 postings.setdefault(t, []).append((i, x / own))
-            self.question.append(self.grams(np.array([vocabulary[w] for w in item.question], np.int64)))
-            self.answer.append(self.grams(np.array([vocabulary[w] for w in item.answer], np.int64)))
+            for own, half in ((self.question, item.question), (self.answer, item.answer)):
+                n = self.run(half)
+                own.append((n, self.grams(np.array([vocabulary[w] for w in half], np.int64), n)))
         self.items = {t: [i for i, _ in p] for t, p in postings.items()}
         self.impacts = {t: [x for _, x in p] for t, p in postings.items()}
         #: The greatest impact of each term in each block; the last row is that of words in no item.
@@ -83,10 +86,13 @@ class ItemShard:
         self.rare = self.bounds.copy()
         self.rare[sorted(many)] = 0
 
-    def grams(self, terms: np.ndarray) -> np.ndarray:
-        """Distinct runs of ``gram`` words (of all words, if fewer), as numbers; runs with unknown words have none."""
-        n = min(self.gram, len(terms))
-        if not n:
+    def run(self, half: list[str]) -> int:
+        """The run length an item's half is compared by: ``gram``, or all its words if fewer."""
+        return min(self.gram, len(half))
+
+    def grams(self, terms: np.ndarray, n: int) -> np.ndarray:
+        """Distinct runs of ``n`` words, as numbers; runs with unknown words have none."""
+        if not n or len(terms) < n:
             return np.empty(0, np.int64)
         out = np.zeros(len(terms) - n + 1, np.int64)
         known = np.ones(len(out), bool)
@@ -183,10 +189,13 @@ class ItemIndex:
         for shard in self.shards:
             for first, end in shard.passages(terms, threshold):
                 window = terms[first:end]
-                grams = None
+                grams: dict[int, np.ndarray] = {}  # by run length
                 for i, score in shard.search(window, threshold):
-                    grams = shard.grams(window) if grams is None else grams
-                    shares = [float(np.isin(own, grams).mean()) if len(own) else 1.0 for own in (shard.question[i], shard.answer[i])]
+                    halves_of = (shard.question[i], shard.answer[i])
+                    for n, _ in halves_of:
+                        if n not in grams:
+                            grams[n] = shard.grams(window, n)
+                    shares = [float(np.isin(own, grams[n]).mean()) if n else 1.0 for n, own in halves_of]
                     if min(shares) >= overlap:
                         best[shard.ids[i]] = max(best.get(shard.ids[i], (-1.0, 0.0, 0.0, 0)), (float(score), *shares, first))
         return best

@@ -78,6 +78,18 @@ def test_leaks(spark):
     assert got.count() == len(rows)
 
 
+def test_short_items(spark):
+    made = [(n, [f"s{n}w{j}" for j in range(n)]) for n in range(1, 6)]
+    rows = [(i, f"before it {' '.join(w)} after it") for i, w in made] + [(100, " ".join(f"z{j}" for j in range(40)))]
+    got = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), [Item(i, *halves(w)) for i, w in made]).collect()
+    assert {(r.doc_id, x["item_id"]) for r in got for x in r.leaks} == {(i, i) for i, _ in made}
+    answers = [(1, "what is the capital of france", "Paris"), (2, "who wrote of the white whale", "Herman Melville"), (3, "why", "because the old river runs low")]
+    bench = spark.createDataFrame(answers, "item_id long, text string, answer string")
+    rows = [(i, f"asked {q}? {a}. so it went") for i, q, a in answers] + [(100 + i, f"asked {q}? so it went") for i, q, _ in answers[:2]]
+    got = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), read_items(bench, answer_col="answer")).collect()
+    assert {(r.doc_id, x["item_id"]) for r in got for x in r.leaks} == {(i, i) for i, *_ in answers}
+
+
 def test_edges(spark):
     frame = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
