@@ -241,7 +241,7 @@ def find_leaks(
         def one(text: str | None) -> list[dict]:
             if not text or not index.shards:
                 return []
-            words = text.replace("\n", " ").split(" ") if "\t" not in text and "\r" not in text else words_of(text)
+            words = text.replace("\n", " ").split(" ") if not any(c in text for c in "\t\r\x0b\x0c") else words_of(text)
             terms = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
             terms = terms[terms > -2]  # no word
             if not len(terms):

@@ -90,6 +90,13 @@ def test_short_items(spark):
     assert {(r.doc_id, x["item_id"]) for r in got for x in r.leaks} == {(i, i) for i, *_ in answers}
 
 
+@pytest.mark.parametrize("space", ["\x0b", "\x0c", "\r", "\t", "\n"])
+def test_all_white_space_parts_words(spark, space):
+    words = [f"p{j}" for j in range(20)]
+    rows = spark.createDataFrame([(1, "so" + space + space.join(words) + space + "on")], "doc_id long, text string")
+    assert [x["item_id"] for x in find_leaks(rows, [Item(7, *halves(words))]).first().leaks] == [7]
+
+
 def test_edges(spark):
     frame = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
