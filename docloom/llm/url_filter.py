@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import map_arrow, with_arrow_columns
+from docloom.llm.common import map_arrow, stored, with_arrow_columns
 
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,11 +58,15 @@ def _substrings(text: str, order: int) -> list[str]:
 
 @dataclass
 class UrlModel:
-    """``delta`` maps a context and the character after it to log P_accepted - log P_rejected."""
+    """``delta`` maps a context and the character after it to log P_accepted - log P_rejected.
+
+    A model too large to be sent has them in ``table`` (gram, delta) instead.
+    """
 
     order: int
     delta: dict[str, float]
     threshold: float
+    table: DataFrame | None = None
 
     def score(self, url: str | None) -> float:
         """Length-normalised log likelihood difference, by the longest known context of each character."""
@@ -90,13 +94,36 @@ def _log_probabilities(counts: dict[str, int], alphabet: int, order: int, grams:
     return out
 
 
+def _differences(counted: DataFrame, alphabet: int, order: int) -> DataFrame:
+    """(gram, delta) of all ``counted`` (gram, a, r): :func:`_log_probabilities` of both sides as joins, from short to long."""
+    size = F.length("gram")
+    rows = counted.select("gram", "a", "r", size.alias("k"), F.expr("substring(gram, 1, length(gram) - 1)").alias("context"), F.expr("substring(gram, 2)").alias("shorter"))
+    totals = rows.groupBy("context").agg(F.sum("a").alias("n_a"), F.count_if(F.col("a") > 0).alias("t_a"), F.sum("r").alias("n_r"), F.count_if(F.col("r") > 0).alias("t_r"))
+    rows = stored(rows.join(totals, "context"), "contexts")
+    shorter, levels = None, []
+    for k in range(1, order + 2):
+        level = rows.where(F.col("k") == k)
+        if shorter is None:
+            level = level.withColumns({"p_a": F.lit(1.0 / alphabet), "p_r": F.lit(1.0 / alphabet)})
+        else:
+            level = level.join(shorter.select(F.col("gram").alias("shorter"), F.col("q_a").alias("p_a"), F.col("q_r").alias("p_r")), "shorter")
+        smoothed = [F.when(F.col(f"n_{s}") > 0, (F.col(s) + F.col(f"t_{s}") * F.col(f"p_{s}")) / (F.col(f"n_{s}") + F.col(f"t_{s}"))).otherwise(F.col(f"p_{s}")).alias(f"q_{s}") for s in ("a", "r")]
+        shorter = stored(level.select("gram", *smoothed), "probabilities")
+        levels.append(shorter.select("gram", (F.log("q_a") - F.log("q_r")).alias("delta")))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
 def fit(labelled: DataFrame, *, url_col: str = "url", verdict_col: str = "verdict", order: int = 5, max_grams: int = 400_000, false_blocks: float = 0.01) -> UrlModel:
     """Models from every row whose verdict is allow or block; others teach nothing.
 
     Each distinct URL counts once.  Four fifths of the URLs (by hash) train, the rest calibrate: the
     threshold is the score below which at most ``false_blocks`` of the held-out accepted URLs lie.
-    Counts are summed by Spark; the driver gets those of the ``max_grams`` most frequent substrings
-    (bound of the model).  If either side has no URL, nothing is blocked.
+    Counts are summed by Spark, and every substring stays in the model: up to ``max_grams`` of them
+    are gathered and sent to tasks, more stay a table that URLs are joined to.  If either side
+    has no URL, nothing is blocked.
     """
     rows = labelled.where(F.col(verdict_col).isin("allow", "block") & F.col(url_col).isNotNull())
     rows = rows.select(F.col(url_col).alias("url"), (F.col(verdict_col) == "allow").alias("accepted")).distinct()
@@ -122,23 +149,63 @@ def fit(labelled: DataFrame, *, url_col: str = "url", verdict_col: str = "verdic
     counted = map_arrow(rows.where(~held), count, "gram string, accepted boolean, n long").groupBy("gram").agg(
         F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("accepted"), 0).otherwise(F.col("n"))).alias("r")
     )
-    top = counted.orderBy(F.desc(F.col("a") + F.col("r")), "gram").limit(max_grams).collect()
-    accepted = {r["gram"]: r["a"] for r in top if r["a"]}
-    rejected = {r["gram"]: r["r"] for r in top if r["r"]}
-    if not accepted or not rejected:
+    counted = stored(counted, "substrings")
+    size = counted.agg(F.count(F.lit(1)).alias("grams"), F.sum("a").alias("a"), F.sum("r").alias("r"), F.count_if(F.length("gram") == 1).alias("letters")).first()
+    if not size["a"] or not size["r"]:
         return UrlModel(order, {}, -1.0)
-    alphabet = len({r["gram"] for r in top if len(r["gram"]) == 1}) + 1
-    grams = [r["gram"] for r in top]
-    p, q = _log_probabilities(accepted, alphabet, order, grams), _log_probabilities(rejected, alphabet, order, grams)
-    model = UrlModel(order, {g: float(np.log(p[g]) - np.log(q[g])) for g in grams}, -1.0)
+    alphabet = size["letters"] + 1
+    if size["grams"] > max_grams:
+        model = UrlModel(order, {}, -1.0, stored(_differences(counted, alphabet, order), "model"))
+    else:
+        every = counted.collect()
+        accepted = {r["gram"]: r["a"] for r in every if r["a"]}
+        rejected = {r["gram"]: r["r"] for r in every if r["r"]}
+        grams = [r["gram"] for r in every]
+        p, q = _log_probabilities(accepted, alphabet, order, grams), _log_probabilities(rejected, alphabet, order, grams)
+        model = UrlModel(order, {g: float(np.log(p[g]) - np.log(q[g])) for g in grams}, -1.0)
     scored = score(rows.where(held & F.col("accepted")), model)
     low = scored.agg(F.expr(f"percentile_approx(url_score, {false_blocks}, 100000)").alias("low")).first()["low"]
     model.threshold = min(0.0, low) if low is not None else 0.0
     return model
 
 
+def _joined_score(urls: DataFrame, model: UrlModel, url_col: str) -> DataFrame:
+    """The scores of :meth:`UrlModel.score` by joins: each distinct run of up to ``order`` + 1 characters is
+    looked up once, by its longest known end, and every distinct URL adds up its runs in their order."""
+    order, url = model.order, F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(url)
+    rows = urls.withColumn("__text", F.concat(F.lit("\x02"), F.translate(rest, _UPPER, _LOWER), F.lit("\x03")))
+    kept = [F.col(f"`{c}`") for c in urls.columns if c != "url_score"]
+    texts = stored(rows.select("__text").distinct().select(F.monotonically_increasing_id().alias("id"), F.col("__text").alias("text")), "texts")
+
+    def cut(batches):
+        names = ["id", "at", "run"]
+        for batch in batches:
+            ids, places, runs = [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k in range(1, len(text)):
+                    ids.append(i)
+                    places.append(k)
+                    runs.append(text[max(0, k - order) : k + 1])
+                    if len(ids) >= 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(runs)], names=names)
+                        ids, places, runs = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(runs, pa.string())], names=names)
+
+    pieces = map_arrow(texts, cut, "id long, at int, run string")
+    ends = pieces.select("run").distinct().select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("k")).select("run", F.expr("substring(run, k)").alias("gram"))
+    found = ends.join(model.table, "gram").groupBy("run").agg(F.max_by("delta", F.length("gram")).alias("delta"))
+    parts = F.array_sort(F.collect_list(F.struct("at", "delta")))
+    sums = pieces.join(found, "run").groupBy("id").agg(F.aggregate(parts, F.lit(0.0), lambda total, x: total + x["delta"]).alias("total"))
+    scores = texts.join(sums, "id", "left").select(F.col("text").alias("__text"), (F.coalesce("total", F.lit(0.0)) / (F.length("text") - 1)).alias("__score"))
+    return rows.join(scores, "__text", "left").select(*kept, F.col("__score").alias("url_score"))
+
+
 def score(urls: DataFrame, model: UrlModel, *, url_col: str = "url") -> DataFrame:
     """``urls`` with ``url_score``; a null or empty URL has the score of its end mark alone."""
+    if model.table is not None:
+        return _joined_score(urls, model, url_col)
     sent = urls.sparkSession.sparkContext.broadcast(model)
 
     def make():

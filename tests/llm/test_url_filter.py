@@ -75,3 +75,18 @@ def test_probabilities_sum_to_one():
 def test_one_side_only(spark):
     rows = spark.createDataFrame([("http://a.org/", "allow")], "url string, verdict string")
     assert score(rows, fit(rows)).first().url_score == 0.0
+
+
+def test_a_model_too_large_to_send_is_whole(spark):
+    good, bad = urls(60)
+    rows = [(u, "allow") for u in good] + [(u, "block") for u in bad] + [("http://É-日本.org/x", "allow")]
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    asked = spark.createDataFrame([(u, 0.0) for u, _ in rows] + [(None, 0.0), ("", 0.0), ("no scheme", 0.0), ("ftp://Ω.net/ÄÖ?q://r", 0.0), (good[0], 0.0)], "url string, url_score double")
+    small, large = fit(labelled), fit(labelled, max_grams=50)
+    assert large.table.count() == len(small.delta) > 50
+    assert {r.gram: r.delta for r in large.table.collect()} == pytest.approx(small.delta, abs=1e-12)
+    assert large.threshold == pytest.approx(small.threshold, abs=1e-12)
+    key = lambda r: (str(r.url), r.url_score)
+    got, wanted = sorted(score(asked, large).collect(), key=key), sorted(score(asked, small).collect(), key=key)
+    assert [r.url for r in got] == [r.url for r in wanted]
+    assert [r.url_score for r in got] == pytest.approx([r.url_score for r in wanted], abs=1e-12)
