@@ -34,13 +34,20 @@ def scaled(df: DataFrame, columns: list[str], scale: float) -> DataFrame:
 
 
 def markdown(results: DataFrame, *, key: str = "benchmark", value: str = "wall_s", name: str = "value", most: int = 1000) -> str:
-    """A table of each sweep's fastest and slowest run and the failures; at most ``most`` sweeps, which the driver prints."""
+    """A table of each sweep's fastest and slowest run and the failures; at most ``most`` sweeps of each, which the
+    driver prints, the first by key, and how many are left out."""
     numbered = results.where("status = 'ok'")
-    rows = extremes(numbered, key=key, value=value, order="ord").orderBy(key).limit(most).collect()
-    names = {r["ord"]: r[name] for r in numbered.select("ord", name).join(F.broadcast(extremes(numbered, key=key, value=value, order="ord").limit(most).select(F.explode(F.array("fastest", "slowest")).alias("ord")).distinct()), "ord").collect()}
+    found = extremes(numbered, key=key, value=value, order="ord")
+    chosen = found.orderBy(key).limit(most)
+    rows = chosen.collect()
+    names = {r["ord"]: r[name] for r in numbered.select("ord", name).join(F.broadcast(chosen.select(F.explode(F.array("fastest", "slowest")).alias("ord")).distinct()), "ord").collect()}
     lines = ["| sweep | fastest | s | slowest | s | spread |", "|---|---|---|---|---|---|"]
     lines += [f"| {r[key]} | {names[r['fastest']]} | {r['fastest_value']:.2f} | {names[r['slowest']]} | {r['slowest_value']:.2f} | {r['spread']:.2f} |" for r in rows]
-    failed = results.where("status IS NULL OR status <> 'ok'").groupBy(key).count().orderBy(key).limit(most).collect()
+    if len(rows) == most and (left := found.count() - most):
+        lines += ["", f"Left out: {left} more sweeps"]
+    failures = results.where("status IS NULL OR status <> 'ok'").groupBy(key).count()
+    failed = failures.orderBy(key).limit(most).collect()
     if failed:
-        lines += ["", "Failed: " + ", ".join(f"{r[key]} ({r['count']})" for r in failed)]
+        left = failures.count() - most if len(failed) == most else 0
+        lines += ["", "Failed: " + ", ".join(f"{r[key]} ({r['count']})" for r in failed) + (f" and {left} more" if left else "")]
     return "\n".join(lines)

@@ -136,3 +136,12 @@ def test_models_survive_missing_pictures(spark):
     assert converted(rows, lambda c, f: c + f.encode()).orderBy("page_idx").first().image == b"apng"
     with pytest.raises(ValueError):
         converted(rows, lambda c, f: c, image_format="gif")
+
+
+def test_a_report_tells_what_it_leaves_out(spark):
+    from docloom.sources.reports import markdown
+
+    rows = [(f"s{i:03d}", i, f"v{i}", 1.0 + i, "ok") for i in range(60)] + [(f"s{i:03d}", 100 + i, "v", 0.0, "error") for i in range(7)]
+    text = markdown(spark.createDataFrame(rows[::-1], "benchmark string, ord int, value string, wall_s double, status string"), most=5)
+    assert [x[2:6] for x in text.splitlines() if x.startswith("| s0")] == [f"s{i:03d}" for i in range(5)]
+    assert "Left out: 55 more sweeps" in text and text.endswith("s004 (1) and 2 more")
