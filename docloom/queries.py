@@ -413,6 +413,12 @@ def OP73_by_arm(spark, d):
     return rows.select("arm", F.array_join(F.transform("all", lambda x: x.cast("string")), ",").alias("indexes"))
 
 
+@query("SELECT c_mktsegment AS arm, c_custkey // 1000 AS block, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS indexes FROM customer GROUP BY ALL")
+def OP73_arm_blocks(spark, d):
+    rows = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("arm"), F.expr("c_custkey div 1000").alias("block")).agg(F.array_sort(F.collect_list("c_custkey")).alias("all"))
+    return rows.select("arm", "block", F.array_join(F.transform("all", lambda x: x.cast("string")), ",").alias("indexes"))
+
+
 # -- order, batches ------------------------------------------------------------------------------
 
 
