@@ -1,17 +1,21 @@
 """MinHash near-duplicate detection by a signature-coordinate inverted join.
 
 1. Each text's set of word shingles gives a digest and a signature of ``coordinates`` minima.  Texts
-   with equal sets are one class; only classes go on.
+   with equal sets are one class; only classes go on, under short numbers.
 2. A class is posted under each coordinate-value pair.  A pair of classes is a candidate if at least
    ``matches`` coordinates collide.  Values that only one class has can't collide, so a class with s
    shared values needs to be posted under its s - matches + 1 rarest alone (prefix filter); a class
    with fewer than ``matches`` is skipped.
-3. Posting lists are merged in two ways.  First every list links its members to one member (a star,
-   as many pairs as members); confirmed links make components.  Then only members of different
-   components still need comparison: lists within one component are skipped, in the others the members
-   outside the list's largest component meet the rest.  A group of many near copies so never meets itself.
-4. Candidates get a longer sketch, by which pairs far below the threshold are told without their sets.
-   Every link is confirmed on the full shingle sets.
+3. Posting lists are merged in rounds.  In each, a list links its members to one of them (a star, as
+   many pairs as members); a class keeps the star it meets in most lists, and confirmed links make
+   components.  Lists within one component are skipped from then on, and only members outside of a
+   list's largest component still ask.
+4. When rounds link little more, the members that still ask meet the others of their lists in blocks:
+   collisions of whole signatures are counted, pairs below ``matches`` and pairs whose first common
+   value is another list's are passed over.  No pair becomes a row: a block hands on the classes that
+   some of its askers may be linked with, each once.
+5. Every link is confirmed on the full shingle sets.  A longer sketch tells pairs far below the
+   threshold before that.
 """
 
 from __future__ import annotations
@@ -19,15 +23,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WordCodes, map_arrow, stored
+from docloom.llm.common import WordCodes, discard, fits_broadcast, map_arrow, stored
 
 _MIX = np.random.default_rng(20_240_601).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _WIDE = np.random.default_rng(20_240_602).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SET_BYTES = 5  # of a shingle's hash, where sets are compared
+#: Members of a star or list that one group of a task reads, askers of a block, shingles of a block's askers.
+_GROUP, _ASKERS, _BLOCK_SHINGLES = 8192, 1024, 1 << 20
+#: Ids that are broadcast instead of shuffling texts.
+_BROADCAST_BYTES = 64 << 20
 
 
 class Shingles:
@@ -78,90 +86,101 @@ def sketch_matches(percent: int) -> int:
 
 
 def features(documents: DataFrame, id_col: str, text_col: str, words: int, coordinates: int) -> DataFrame:
-    """``doc_id, n_shingles, digest`` (null: empty set) and ``signature`` of each row."""
+    """``doc_id, text_key, n_shingles, digest`` (null: empty set) and ``signature`` of each row."""
 
     def run(batches):
         shingles = Shingles(words)
         for batch in batches:
             sizes, digests, found = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingles.of(text.as_py())
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 found.append(signature(s, coordinates) if len(s) else np.empty(0, np.int64))
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "signature"])
+            made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc_id", "text_key", "n_shingles", "digest", "signature"])
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return map_arrow(rows, run, "doc_id long, n_shingles long, digest binary, signature array<long>")
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return map_arrow(rows, run, "doc_id long, text_key binary, n_shingles long, digest binary, signature array<long>")
+
+
+def text_key(text: Column) -> Column:
+    """Tells texts apart; null for null."""
+    return F.unhex(F.md5(text.cast("string").cast("binary")))
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """``node`` (digest), its set (the highest bytes of each hash) and its ``sketch``, from (text as binary, node)."""
+    """``node``, its ``shingles`` and their ``sketch``, from (text as binary, node, digest)."""
 
     def run(batches):
         shingles = Shingles(words)
         for batch in batches:
             nodes, sets, sketches = [], [], []
-            for text, node in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for text, node, digest in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 s = shingles.of(text.as_py())
-                if xxhash.xxh3_128_digest(s.tobytes()) == node:  # an id may have several texts
+                if xxhash.xxh3_128_digest(s.tobytes()) == digest:  # an id may have several texts
                     nodes.append(node)
                     sketches.append(sketch(s))
-                    sets.append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 8 - _SET_BYTES :]).tobytes())
-            columns = [pa.array(nodes, pa.binary()), pa.array(sets, pa.binary()), pa.array(sketches, pa.list_(pa.int8()))]
+                    sets.append(s.tobytes())
+            columns = [pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sketches, pa.list_(pa.int8()))]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "sketch"])
 
-    return map_arrow(texts, run, "node binary, shingles binary, sketch array<tinyint>")
+    return map_arrow(texts, run, "node long, shingles binary, sketch array<tinyint>")
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    flat = np.frombuffer(packed, np.uint8).reshape(-1, _SET_BYTES)
-    wide = np.zeros((len(flat), 8), np.uint8)
-    wide[:, :_SET_BYTES] = flat
-    return wide.view(np.uint64)[:, 0]
+def _grouped(batches, keys: int):
+    """(key, batch) of the runs of rows with equal first ``keys`` columns (integers), batch by batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        cut = [*np.flatnonzero(new).tolist(), batch.num_rows]
+        for first, end in zip(cut, cut[1:], strict=False):
+            yield tuple(int(c[first]) for c in columns), batch.slice(first, end - first)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: the labels of those pairs (``node_a, node_b, a, b``) with 100 * intersection >= percent * union."""
+def linked(percent: int, n: int, m: np.ndarray | int, both: np.ndarray | int) -> np.ndarray | bool:
+    return 100 * both >= percent * (n + m - both)
 
-    def run(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):  # two sets at a time
-                left, right = x.as_py(), y.as_py()
-                n, m = len(left) // _SET_BYTES, len(right) // _SET_BYTES
-                if 100 * min(n, m) < percent * max(n, m):
-                    good.append(False)
-                    continue
-                both = len(np.intersect1d(_unpacked(left), _unpacked(right)))
-                good.append(100 * both >= percent * (n + m - both))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    joined = pairs.join(sets.toDF("node_a", "set_a"), "node_a").join(sets.toDF("node_b", "set_b"), "node_b").select("a", "b", "set_a", "set_b")
-    return map_arrow(joined, run, "a binary, b binary")
+def confirmed(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the labels of those ``stars`` (node, center, a, b) with 100 * intersection >= percent * union.
 
+    A center's set is sent once for every ``_GROUP`` of its members.
+    """
+    parts = stars.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / _GROUP).cast("int").alias("parts"))
+    members = stars.join(parts, "center").select("center", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "node", "a", "b")
+    centers = parts.select("center", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("center").alias("node"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    rows = members.unionByName(centers).join(sets, "node").select("center", "part", "role", "node", "a", "b", "shingles")
+    rows = rows.repartition("center", "part").sortWithinPartitions("center", "part", "role")
 
-def forest(parents: DataFrame) -> DataFrame:
-    """``node, label``: the root above each node of (a, its parent b), where parents never lead back.
+    def run(batches):
+        key, center = None, None
+        for now, group in _grouped(batches, 2):
+            if now != key:
+                key, center = now, np.frombuffer(group.column(6)[0].as_py(), np.uint64)  # role 0 comes first
+            roles, good = group.column(2).to_numpy(), np.zeros(group.num_rows, bool)
+            for i in np.flatnonzero(roles == 1):
+                own = np.frombuffer(group.column(6)[int(i)].as_py(), np.uint64)
+                if 100 * min(len(own), len(center)) >= percent * max(len(own), len(center)):
+                    good[i] = linked(percent, len(center), len(own), len(np.intersect1d(own, center, assume_unique=True)))
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([group.column(4).filter(keep), group.column(5).filter(keep)], names=["a", "b"])
 
-    Every step doubles the distance looked up.
-    """
-    above = stored(parents.toDF("node", "label"), "parents")
-    while True:
-        higher = above.toDF("label", "up")
-        step = stored(above.join(higher, "label", "left").select("node", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")), "parents")
-        above = step.select("node", "label")
-        if step.where("moved").isEmpty():
-            return above
+    return map_arrow(rows, run, "a long, b long")
 
 
 def merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
-    """``labels`` carried on by ``new``, whose nodes are labels."""
+    """``node, label`` of all nodes but those that are their own label: ``labels`` carried on by ``new``, whose nodes
+    are labels."""
     if labels is None:
-        return new
+        return stored(new.where("node <> label"), "labels")
     on = labels.join(new.toDF("label", "top"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
     return stored(on.unionByName(new.where("node <> label")), "labels")
 
@@ -171,7 +190,6 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels go along edges and then to the label's own label, until none changes.
     """
-    edges = stored(edges, "edges")
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
@@ -179,10 +197,12 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "seen").alias("new"))
         jump = step.join(labels.select(F.col("node").alias("new"), F.col("label").alias("far")), "new", "left")
         after = stored(jump.select("node", "label", F.least("new", F.coalesce("far", "new")).alias("new")), "labels")
-        labels_changed = not after.where("label <> new").isEmpty()
-        labels = after.select("node", F.col("new").alias("label"))
-        if not labels_changed:
-            return labels
+        discard(labels)
+        if after.where("label <> new").isEmpty():
+            discard(both)
+            return after.select("node", "label")
+        labels = stored(after.select("node", F.col("new").alias("label")), "labels")
+        discard(after)
 
 
 def _collisions(a: Column, b: Column) -> Column:
@@ -195,32 +215,9 @@ def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def near_duplicates(
-    documents: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = 5,
-    percent: int = 80,
-    coordinates: int = 32,
-    matches: int = 13,
-    rounds: int = 4,
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row.
-
-    ``component_id`` is the least id in the row's component of linked texts, ``kept`` marks it.  A pair of
-    texts at the threshold has under ``matches`` collisions with a probability of about 1e-6.  Texts without
-    words (null, empty) have an empty set and stand alone.  A null id takes part in no component: its
-    ``component_id`` is null and it is kept.  Repeated rows are copies of one another; of repeated ids all
-    rows with the least id are marked.  An empty table gives no rows; further columns are ignored.
-    """
-    feats = stored(features(documents, id_col, text_col, words, coordinates), "features")
-    classes = stored(
-        feats.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy(F.col("digest").alias("node"))
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature")),
-        "classes",
-    )
+def posting_lists(classes: DataFrame, matches: int) -> DataFrame:
+    """``value, node, n`` (the list's length), ``weight`` (of the class: its lists' lengths) and ``prefix``
+    (bits of the coordinates it is posted under) for the classes that can be candidates."""
     postings = classes.select("node", F.explode("signature").alias("value"))
     shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     prefixes = (
@@ -228,97 +225,288 @@ def near_duplicates(
         .groupBy("node")
         .agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("lists"), F.sum("n").alias("weight"))  # one entry a coordinate
         .where(F.size("lists") >= matches)
-        .select("node", "weight", F.expr(f"slice(lists, 1, size(lists) - {matches - 1}).value").alias("prefix"))
+        .select("node", "weight", F.expr(f"slice(lists, 1, size(lists) - {matches - 1})").alias("lists"))
     )
-    candidates = stored(prefixes.join(classes.select("node", "rep"), "node"), "candidates")
-
-    texts = documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    sets = stored(shingle_sets(texts.join(candidates.select("rep", "node"), "rep").select("text", "node"), words).dropDuplicates(["node"]), "sets")
-    wide = candidates.join(sets.select("node", "sketch", F.octet_length("shingles").alias("size")), "node")
-    sets = sets.select("node", "shingles")
-
-    lists = stored(wide.select("node", "weight", "size", "sketch", "prefix", F.explode("prefix").alias("value")), "postings")
-    labels, n_classes, likely = None, classes.count(), sketch_matches(percent)
-    for turn in range(rounds):
-        posted = _labelled(lists.drop("prefix"), labels)
-        # the text that the others were copied from has the most frequent values; later any member will do
-        order = F.struct(-F.col("weight") if turn == 0 else F.xxhash64(F.col("node"), F.lit(turn)), F.col("node"))
-        center = F.min_by(F.struct("node", "label", "sketch"), order).alias("center")
-        if turn == 0:
-            centers = posted.groupBy("value").agg(center)
-        else:  # now only those outside of a list's largest component are compared, with one of its members
-            posted = posted.join(mixed.select("value", "largest"), "value")
-            centers = posted.where("label = largest").groupBy("value").agg(center)
-            posted = posted.where("label <> largest")
-        stars = (
-            posted.join(centers, "value")
-            .where("label <> center.label")
-            .select("node", "label", F.col("center.node").alias("center"), F.col("center.label").alias("up"), _collisions(F.col("sketch"), F.col("center.sketch")).alias("hits"))
-            .where(F.col("hits") >= likely)
-            .groupBy("node")
-            .agg(F.max_by(F.struct("label", "center", "up"), F.struct("hits", "center")).alias("s"))
-        )
-        found = confirmed(stars.select(F.col("node").alias("node_a"), F.col("s.center").alias("node_b"), F.col("s.label").alias("a"), F.col("s.up").alias("b")), sets, percent)
-        # a center comes before its members in the order, so the first round's stars are a forest
-        grown = forest(found) if turn == 0 else components(found)
-        labels = merged(labels, grown)
-        mixed = stored(_outsiders(lists, labels), "mixed")
-        compared = mixed.agg(F.sum((F.col("size") - F.col("largest_size")) * F.col("size")).alias("n")).first()["n"] or 0
-        if compared <= 100 * n_classes or grown.isEmpty():
-            break
+    bits = F.expr("aggregate(lists, 0L, (s, x) -> s | shiftleft(1L, int(x.value & 63)))")
+    return prefixes.select("node", "weight", bits.alias("prefix"), F.inline("lists")).select("value", "node", "n", "weight", "prefix")
 
-    if compared:
-        labels = merged(labels, components(confirmed(cross_pairs(lists, labels, mixed, percent), sets, percent)))
 
-    nodes = classes.select("node", "rep", "copies")
-    grouped = _labelled(nodes, labels)
-    least = grouped.join(labels.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("rep").alias("component_id"))
-    grouped = grouped.join(least, "label", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
-    grouped = grouped.where("copies > 1 OR component_id <> rep").select(F.col("node").alias("digest"), "component_id")
-    out = feats.select("doc_id", "n_shingles", "digest").join(grouped, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+def mixed_lists(lists: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """``value, largest, center, others, size, n`` of the posting lists that hold several components: the largest
+    one's label and a member of it, how many are outside of it, and all that are posted or share the value."""
+    if labels is None:
+        # the text that the others were copied from has the most frequent values
+        return lists.groupBy("value").agg(F.min_by("node", F.struct(-F.col("weight"), F.col("node"))).alias("center"), (F.count(F.lit(1)) - 1).alias("others"), F.count(F.lit(1)).alias("size"), F.max("n").alias("n")).where("others > 0").withColumn("largest", F.col("center"))
+    return (
+        _labelled(lists.select("value", "node", "n"), labels)
+        .groupBy("value", "label")
+        .agg(F.count(F.lit(1)).alias("here"), F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))).alias("pick"), F.max("n").alias("n"))
+        .groupBy("value")
+        .agg(F.max_by(F.struct("label", "pick"), F.struct("here", "label")).alias("top"), F.max("here").alias("most"), F.sum("here").alias("size"), F.max("n").alias("n"))
+        .where("most < size")
+        .select("value", F.col("top.label").alias("largest"), F.col("top.pick").alias("center"), (F.col("size") - F.col("most")).alias("others"), "size", "n")
+    )
 
 
-def _outsiders(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``value, largest, largest_size, size`` of the posting lists that hold several components."""
-    posted = _labelled(postings.select("node", "value"), labels)
+def stars(lists: DataFrame, labels: DataFrame | None, mixed: DataFrame) -> DataFrame:
+    """``node, center, a, b`` (their labels): each class outside of its lists' largest components with the
+    center that it meets in most lists.  Long lists are split by class."""
+    parts = F.ceil(F.col("n") / _GROUP).cast("int")
+    centers = mixed.select("value", "largest", "center", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    posted = _labelled(lists.select("value", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")), labels)
     return (
-        posted.groupBy("value", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("value")
-        .agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("largest_size"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1")
-        .drop("parts")
+        posted.join(centers, ["value", "part"])
+        .where("label <> largest")
+        .groupBy("node", "label", "center", F.col("largest").alias("up"))
+        .agg(F.count(F.lit(1)).alias("hits"))
+        .groupBy("node")
+        .agg(F.max_by(F.struct("center", "label", "up"), F.struct("hits", "center")).alias("s"))
+        .select("node", "s.center", F.col("s.label").alias("a"), F.col("s.up").alias("b"))
+    )
+
+
+def likely(pairs: DataFrame, wide: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Those of ``pairs`` (node, center, ...) with ``matches`` collisions, fitting sizes and like sketches."""
+    columns = ("node", "size", "signature", "sketch")
+    both = pairs.join(wide.select(*columns), "node").join(wide.select(*[F.col(c).alias(f"c_{c}") for c in columns]), F.col("center") == F.col("c_node"))
+    sizes = 100 * F.least("size", "c_size") >= percent * F.greatest("size", "c_size")
+    collide = _collisions(F.col("signature"), F.col("c_signature")) >= matches
+    return both.where(sizes & collide & (_collisions(F.col("sketch"), F.col("c_sketch")) >= sketch_matches(percent))).select(*pairs.columns)
+
+
+def asked(lists: DataFrame, labels: DataFrame | None, mixed: DataFrame, wide: DataFrame, percent: int, matches: int) -> DataFrame:
+    """``block, role, node, label``: blocks of classes that still ask (role 0) and the classes (role 1) that some
+    of the block's may be linked with.
+
+    In each mixed list, those outside of its largest component ask all others.  A long list is cut into
+    ``_ASKERS`` askers times ``_GROUP`` members.
+    """
+    entries = _labelled(lists.select("value", "node"), labels).join(mixed, "value")
+    askers, parts = F.ceil(F.col("others") / _ASKERS).cast("int"), F.ceil(F.col("size") / _GROUP).cast("int")
+    chunk, part = F.pmod(F.xxhash64("node"), askers).cast("int"), F.pmod(F.xxhash64("node", F.lit("part")), parts).cast("int")
+    outside = F.col("label") != F.col("largest")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asking = entries.where(outside).select("value", chunk.alias("chunk"), every(parts).alias("part"), F.lit(0).alias("role"), "node", "label", F.lit(True).alias("outside"))
+    answering = entries.select("value", every(askers).alias("chunk"), part.alias("part"), F.lit(1).alias("role"), "node", "label", outside.alias("outside"))
+    rows = asking.unionByName(answering).join(wide, "node")
+    rows = rows.select("value", "chunk", "part", "role", "node", "label", "outside", "size", "prefix", "signature", "sketch")
+    rows = rows.repartition("value", "chunk", "part").sortWithinPartitions("value", "chunk", "part", "role", "node")
+    least, names = sketch_matches(percent), ["block", "role", "node", "label"]
+
+    def read(group: pa.RecordBatch) -> dict[str, np.ndarray]:
+        out = {c: group.column(c).to_numpy(zero_copy_only=False) for c in ("role", "node", "label", "outside", "size", "prefix")}
+        out["signature"] = group.column("signature").flatten().to_numpy().reshape(group.num_rows, -1)
+        out["sketch"] = group.column("sketch").flatten().to_numpy().reshape(group.num_rows, -1)
+        return out
+
+    def matching(x: dict, y: dict, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in x, in y) of the pairs that may be links and belong to the list of coordinate ``at``."""
+        fits = (x["label"][:, None] != y["label"][None]) & (~y["outside"][None] | (x["node"][:, None] < y["node"][None]))
+        fits &= 100 * np.minimum(x["size"][:, None], y["size"][None]) >= percent * np.maximum(x["size"][:, None], y["size"][None])
+        if not fits.any():
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        hits = np.zeros(fits.shape, np.uint8)
+        for i in range(x["signature"].shape[1]):
+            equal = x["signature"][:, i, None] == y["signature"][None, :, i]
+            hits += equal
+            if i < at:
+                posted = ((x["prefix"] >> i & 1) == 1)[:, None] & ((y["prefix"] >> i & 1) == 1)[None]
+                fits &= ~(equal & posted)
+        p, q = np.nonzero(fits & (hits >= matches))
+        near = np.zeros(len(p), bool)
+        for i in range(0, len(p), 1 << 14):
+            near[i : i + (1 << 14)] = (x["sketch"][p[i : i + (1 << 14)]] == y["sketch"][q[i : i + (1 << 14)]]).sum(axis=1) >= least
+        return p[near], q[near]
+
+    def run(batches):
+        base, count = TaskContext.get().partitionId() << 32, 0
+        key, gathered, asks, told = None, [], None, None
+
+        def rows_of(blocks, role, nodes, labels):
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(blocks, np.int64)), pa.array(np.full(len(nodes), role, np.int32)), pa.array(nodes), pa.array(labels)], names=names)
+
+        for now, group in _grouped(batches, 3):
+            if now != key:
+                key, gathered, asks = now, [], None
+            x = read(group)
+            first = int((x["role"] == 0).sum())
+            if first:
+                gathered.append({c: v[:first] for c, v in x.items()})
+            if first == group.num_rows:
+                continue
+            if asks is None:  # all askers of the group are here: cut them into blocks
+                asks = {c: np.concatenate([g[c] for g in gathered]) for c in x}
+                asks["block"] = base + count + (np.cumsum(asks["size"]) - asks["size"]) // _BLOCK_SHINGLES
+                count += int(asks["block"][-1] - base - count) + 1
+                told = np.zeros(len(asks["node"]), bool)
+            y = {c: v[first:] for c, v in x.items()}
+            p, q = matching(asks, y, now[0] & 63)
+            if not len(p):
+                continue
+            new = np.unique(p[~told[p]])
+            told[new] = True
+            yield rows_of(asks["block"][new], 0, asks["node"][new], asks["label"][new])
+            pairs = np.unique(np.stack((asks["block"][p], q)), axis=1)
+            yield rows_of(pairs[0], 1, y["node"][pairs[1]], y["label"][pairs[1]])
+
+    return map_arrow(rows, run, "block long, role int, node long, label long")
+
+
+def answered(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: labels of confirmed links between the askers and the other classes of each block, a forest a block."""
+    rows = blocks.join(sets, "node").select("block", "role", "node", "label", "shingles").repartition("block").sortWithinPartitions("block", "role", "node")
+
+    def run(batches):
+        key, gathered, asks, root = None, [], None, {}
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for now, group in _grouped(batches, 1):
+            if now != key:
+                key, gathered, asks, root = now, [], None, {}
+            edges = []
+            for role, label, packed in zip(group.column(1).to_pylist(), group.column(3).to_pylist(), group.column(4), strict=True):
+                own = np.frombuffer(packed.as_py(), np.uint64)
+                if role == 0:
+                    gathered.append((label, own))
+                    continue
+                if asks is None:  # an inverted index of the askers' shingles
+                    sizes = np.array([len(s) for _, s in gathered])
+                    values = np.concatenate([s for _, s in gathered])
+                    owners = np.repeat(np.arange(len(gathered)), sizes)
+                    order = np.argsort(values, kind="stable")
+                    known, at = np.unique(values[order], return_index=True)
+                    asks = sizes, known, np.r_[at, len(values)], owners[order]
+                sizes, known, bounds, owners = asks
+                place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                place = place[known[place] == own]
+                n = bounds[place + 1] - bounds[place]
+                spots = np.repeat(bounds[place] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+                both = np.bincount(owners[spots], minlength=len(sizes))
+                for i in np.flatnonzero(linked(percent, len(own), sizes, both)):
+                    x, y = top(gathered[i][0]), top(label)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        edges.append((gathered[i][0], label))
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
+
+    return map_arrow(rows, run, "a long, b long")
+
+
+def _only(documents: DataFrame, keys: DataFrame, on, how: str, row_bytes: int) -> DataFrame:
+    """A join that broadcasts ``keys`` where they are few, so that texts stay where they are."""
+    return documents.join(F.broadcast(keys) if fits_broadcast(keys, row_bytes, _BROADCAST_BYTES) else keys, on, how)
+
+
+def judged(documents: DataFrame, *, id_col: str, text_col: str, words: int, percent: int, coordinates: int, matches: int) -> DataFrame:
+    """``doc_id, text_key, n_shingles, component`` (a number of the row's component; null: it stands alone),
+    ``component_id`` and ``kept`` of each row."""
+    feats = stored(features(documents, id_col, text_col, words, coordinates), "features")
+    classes = stored(
+        feats.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy("digest")
+        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
+        .select(F.monotonically_increasing_id().alias("node"), "*"),
+        "classes",
     )
+    lists = stored(posting_lists(classes, matches), "postings")
+    candidates = stored(lists.groupBy("node").agg(F.first("prefix").alias("prefix")).join(classes, "node").select("node", "digest", "rep", "size", "signature", "prefix"), "candidates")
+
+    texts = documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    read = shingle_sets(_only(texts, candidates.select("rep", "node", "digest"), ["rep"], "inner", 96).select("text", "node", "digest"), words)
+    repeated = feats.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    sketched = stored(read if repeated.isEmpty() else read.dropDuplicates(["node"]), "sets")
+    sets = sketched.select("node", "shingles")
+    wide = stored(candidates.select("node", "size", "prefix", "signature").join(sketched.select("node", "sketch"), "node"), "wide")
+    discard(candidates)
+
+    def grown(found: DataFrame) -> DataFrame | None:
+        """The labels with confirmed links, which are deleted."""
+        if found.isEmpty():
+            discard(found)
+            return labels
+        new = components(found)
+        out = merged(labels, new)
+        discard(found, new, labels)
+        return out
+
+    labels, turn = None, 0
+    mixed = stored(mixed_lists(lists, labels, turn), "mixed")
+    while not mixed.isEmpty():
+        drawn = stored(likely(stars(lists, labels, mixed), wide, percent, matches), "stars")
+        found = stored(confirmed(drawn, sets, percent), "links")
+        links = found.count()
+        labels, turn = grown(found), turn + 1
+        discard(drawn, mixed)
+        mixed = stored(mixed_lists(lists, labels, turn), "mixed")
+        entries = mixed.agg(F.sum("others")).first()[0] or 0
+        if entries and 20 * links < entries:  # a class has several entries
+            blocks = stored(asked(lists, labels, mixed, wide, percent, matches), "blocks")
+            labels = grown(stored(answered(blocks, sets, percent), "links"))
+            discard(blocks)
+            break
+    discard(mixed, lists, wide, sketched)
+
+    nodes = _labelled(classes.select("node", "digest", "rep", "copies"), labels)
+    joint = None if labels is None else nodes.join(labels.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("rep").alias("least"))
+    grouped = nodes.withColumn("least", F.lit(None).cast("long")) if joint is None else nodes.join(joint, "label", "left")
+    grouped = grouped.where("copies > 1 OR least IS NOT NULL").select("digest", F.col("label").alias("component"), F.coalesce("least", "rep").alias("component_id"))
+    # rows without a digest are spread by keys that no class has
+    digest = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("digest")), F.unhex(F.hex(F.xxhash64("doc_id", "text_key"))))
+    out = feats.select("doc_id", "text_key", "n_shingles", digest.alias("digest")).join(grouped, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", "text_key", "n_shingles", "component", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = stored(out, "judged")
+    discard(feats, classes, labels)
+    return out
 
 
-def cross_pairs(postings: DataFrame, labels: DataFrame | None, lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (node_a, node_b, and their labels a, b) of different components of fitting sizes and with enough equal sketch bytes that meet in a posting list, each from the
-    least value of both prefixes alone."""
-    mixed = _labelled(postings, labels).join(lists.select("value", "largest"), "value")
-    outside = mixed.where("label <> largest").select("value", "largest", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "size", "sketch", "prefix")])
-    inside = mixed.select("value", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "size", "sketch", "prefix")])
-    other = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("node_a") < F.col("node_b")))
-    first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("value")
-    sizes = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    likely = _collisions(F.col("sketch_a"), F.col("sketch_b")) >= sketch_matches(percent)
-    meets = outside.join(inside, "value").where(other & sizes & first & likely)
-    return meets.select("node_a", "node_b", F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+def near_duplicates(
+    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, coordinates: int = 32, matches: int = 13
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each row.
+
+    ``component_id`` is the least id in the row's component of linked texts, ``kept`` marks it.  Ids are integers,
+    or strings of such; other strings fail the job.  A pair of texts at the threshold has under ``matches``
+    collisions with a probability of about 2e-7.  Texts without words (null, empty) have an empty set and stand
+    alone.  A null id takes part in no component: its ``component_id`` is null and it is kept.  Repeated rows are
+    copies of one another; of repeated ids all rows with the least id are marked.  An empty table gives no rows;
+    further columns are ignored.
+    """
+    rows = judged(documents, id_col=id_col, text_col=text_col, words=words, percent=percent, coordinates=coordinates, matches=matches)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def without_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``documents`` with one row for each component of near duplicates, that of the least id.
+def without_near_duplicates(
+    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, coordinates: int = 32, matches: int = 13, texts_apart: bool = False
+) -> DataFrame:
+    """``documents`` with one row for each component of near duplicates, one of the least id.
 
-    Rows with a null id all stay.  Where rows of one id are all marked (repeated rows), one of them stays.
-    Options are those of :func:`near_duplicates`.
+    Rows with a null id all stay.  Where an id has several texts, an id goes or stays as a whole and one row of a
+    kept id stays; with ``texts_apart`` the texts are told apart, and only rows of one component go for each other.
     """
-    judged = stored(near_duplicates(documents, id_col=id_col, **options), "judged")
-    dropped = judged.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    kept = documents.join(dropped, documents[id_col].cast("long") == dropped["__id"], "left_anti")
-    repeated = judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    rows = judged(documents, id_col=id_col, text_col=text_col, words=words, percent=percent, coordinates=coordinates, matches=matches)
+    known = rows.where("doc_id IS NOT NULL")
+    if texts_apart:
+        # of a component's rows with the least id, those of its least text stay
+        marked = known.where("kept AND component IS NOT NULL")
+        least = marked.groupBy("component").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")).where("first <> last")
+        more = marked.join(least, "component").where("text_key <> first")
+        gone = known.where("NOT kept").select("doc_id", "text_key").unionByName(more.select("doc_id", "text_key")).distinct()
+        same = lambda df, keys: (df[id_col].cast("long") == keys["__id"]) & text_key(df[text_col]).eqNullSafe(keys["__key"])
+    else:
+        gone = known.where("NOT kept").select("doc_id", F.lit(None).cast("binary").alias("text_key")).distinct()
+        same = lambda df, keys: df[id_col].cast("long") == keys["__id"]
+    gone = stored(gone.toDF("__id", "__key"), "gone")
+    kept = _only(documents, gone, same(documents, gone), "left_anti", 96)
+    group = ["doc_id", "text_key"] if texts_apart else ["doc_id"]
+    repeated = rows.where("kept AND doc_id IS NOT NULL").groupBy(*group).count().where("count > 1")
     if repeated.isEmpty():
         return kept
-    ids = repeated.select(F.col("doc_id").alias("__id"))
-    once = kept.join(ids, kept[id_col].cast("long") == ids["__id"], "left_semi").dropDuplicates([id_col])
-    return kept.join(ids, kept[id_col].cast("long") == ids["__id"], "left_anti").unionByName(once)
+    keys = stored(repeated.select(F.col("doc_id").alias("__id"), (F.col("text_key") if texts_apart else F.lit(None).cast("binary")).alias("__key")), "repeated")
+    once = kept.join(keys, same(kept, keys), "left_semi").dropDuplicates([id_col, text_col] if texts_apart else [id_col])
+    return kept.join(keys, same(kept, keys), "left_anti").unionByName(once)

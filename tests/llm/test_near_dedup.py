@@ -81,3 +81,33 @@ def test_components_of_a_long_chain(spark):
     got = {bytes(r.node): bytes(r.label) for r in components(edges).collect()}
     least = min(bytes(name(i)) for i in range(61))
     assert got == {bytes(name(i)): least for i in range(61)} | {b"x": b"x", b"y": b"x"}
+
+
+def test_a_family_that_is_only_partly_linked(spark, monkeypatch):
+    """Members too far from the center meet the others in blocks; small groups make several of each."""
+    from docloom.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "_GROUP", 64)
+    monkeypatch.setattr(near_dedup, "_ASKERS", 32)
+    monkeypatch.setattr(near_dedup, "_BLOCK_SHINGLES", 1000)
+    asked, rng = [], random.Random(3)
+    monkeypatch.setattr(near_dedup, "asked", lambda *a, f=near_dedup.asked: asked.append(1) or f(*a))
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(260):
+        copy = list(base)
+        for k in range(rng.randrange(8)):
+            copy[rng.randrange(100)] = f"x{i}-{k}"
+        rows.append((i, " ".join(copy)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    assert got == brute(rows, 4, 80) and asked
+    assert len({c for _, c in got.values()}) > 50
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    rows = [(5, "same text here"), (5, "same text here"), (5, "quite another one"), (6, "quite another one"), (7, "a third text"), (None, "a third text"), (8, None), (8, "")]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, __id string, digest string")
+    kept = without_near_duplicates(frame, texts_apart=True)
+    assert kept.columns == frame.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in [rows[0], rows[2], rows[4], rows[5], rows[6], rows[7]])
+    assert without_near_duplicates(frame.limit(0), texts_apart=True).collect() == []
