@@ -2,7 +2,7 @@
 
 Documents are tokenised where they lie.  Every run of ``shard_docs`` documents of an input
 partition forms a shard with a BM25 inverted index over token ids.  A seed document asks the
-index of its shard for unused neighbours; they fill the seed's window in order of score, and
+index of its shard, with all its terms, for unused neighbours; they fill the seed's window in order of score, and
 the first that doesn't fit is cut at the window's end.  Nothing is shuffled, and a task holds
 one shard at a time.  What a shard leaves over goes to the next one; what a partition leaves
 over is cut into sequences whose lengths are powers of two, which need no padding.
@@ -11,7 +11,7 @@ over is cut into sequences whose lengths are powers of two, which need no paddin
 from __future__ import annotations
 
 import os
-import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,17 +40,16 @@ class TokenIds(dict):
     """Word -> little-endian 32-bit ids as bytes.
 
     The tokenizer never joins characters across a blank, so a text's ids are its words' ids.
-    The dictionary remembers words and is emptied when it holds ``limit`` of them.
+    The dictionary remembers words of up to ``longest`` characters and is emptied when they take up ``limit`` bytes.
     """
 
-    def __init__(self, definition: str, limit: int = 700_000) -> None:
+    def __init__(self, definition: str, limit: int = 128 << 20, longest: int = 40) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
-        self.limit = limit
-        self.pieces: dict[str, bytes] = {}
+        self.limit, self.longest, self.held = limit, longest, 0
         self.alphabet = _byte_alphabet()
         self.by_piece = (
             '"end_of_word_suffix":"</w>"' in definition.replace(" ", "").replace("\n", "")
@@ -59,30 +58,40 @@ class TokenIds(dict):
         )
 
     def __missing__(self, word: str) -> bytes:
-        if self.by_piece and _PLAIN.fullmatch(word) and "<|" not in word:
-            out = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECE.findall(word.lower())])
+        if not self.by_piece or "<|" in word:
+            out = self._whole(word)
+        elif word.isascii() and word.isalpha():  # one piece, spelled as it is
+            out = array("I", [t.id for t in self.tokenizer.model.tokenize(word.lower())]).tobytes()
+        elif _PLAIN.fullmatch(word):
+            out = b"".join(map(self._piece, PIECE.findall(word.lower())))
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            out = np.array(ids, "<u4").tobytes()
-        self[word] = out
+            out = self._whole(word)
+        if len(word) <= self.longest:
+            self.held += 200 + len(out)  # the entry and its two objects
+            self[word] = out
         return out
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _piece(self, piece: str) -> bytes:
         shown = piece.encode().decode("latin-1").translate(self.alphabet)
-        out = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
-        self.pieces[piece] = out
-        return out
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def text(self, text: str) -> bytes:
         """The ids of a whole text."""
-        if len(self) + len(self.pieces) > self.limit:
+        if self.held > self.limit:
             self.clear()
-            self.pieces.clear()
-        if self.by_piece:
-            # A mark between a letter and a blank is a piece of its own: parting it makes words recur.
-            text = _GAP.sub(r" \1 ", text.replace("\n", " "))
-        else:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            self.held = 0
+        if not self.by_piece:
+            return self._whole(text)
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # one by one, as the tokenizer has it: sentence starts recur as other words
+        except UnicodeEncodeError:
+            pass
+        # A mark between a letter and a blank is a piece of its own: parting it makes words recur.
+        text = _GAP.sub(r" \1 ", text.replace("\n", " "))
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 
@@ -97,52 +106,55 @@ def token_ids(definition: str) -> TokenIds:
 
 
 class Shard:
-    """BM25 over the token ids of some documents."""
-
-    def __init__(self, docs: list[np.ndarray], query_terms: int, k1: float = 1.2, b: float = 0.75) -> None:
-        terms, counts, owners = [], [], []
-        for i, ids in enumerate(docs):
-            ordered = np.sort(ids.astype(np.uint16) if not len(ids) or ids.max() < 65536 else ids, kind="stable")
-            first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, int)
-            terms.append(ordered[first].astype(np.int64))
-            counts.append(np.diff(np.r_[first, len(ordered)]))
-            owners.append(np.full(len(first), i))
+    """BM25 over the token ids of some documents.
+
+    Terms of over a quarter of the documents have a row of weights, the others posting lists.
+    """
+
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75) -> None:
         self.n = len(docs)
-        sizes = np.array([len(x) for x in docs], float)
-        term, tf, doc = np.concatenate(terms), np.concatenate(counts).astype(float), np.concatenate(owners)
-        by_term = np.argsort(term, kind="stable")
-        vocabulary, at = np.unique(term[by_term], return_index=True)
-        self.bounds = np.r_[at, len(term)]
-        df = np.diff(self.bounds)
+        sizes = np.array([len(x) for x in docs], np.int64)
+        # one sort of (document, id) finds each document's distinct terms and their counts
+        keys = np.sort(np.repeat(np.arange(self.n, dtype=np.int64) << 32, sizes) | np.concatenate(docs).astype(np.int64))
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+        tf = np.diff(np.append(first, len(keys))).astype(float)
+        doc, term = keys[first] >> 32, keys[first] & 0xFFFFFFFF
+        vocabulary, self.place = np.unique(term, return_inverse=True)
+        df = np.bincount(self.place, minlength=len(vocabulary))
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        place = np.searchsorted(vocabulary, term)
         norm = k1 * (1 - b + b * sizes / max(sizes.mean(), 1))
-        weight = idf[place] * tf * (k1 + 1) / (tf + norm[doc])
+        weight = (idf[self.place] * tf * (k1 + 1) / (tf + norm[doc])).astype(np.float32)
+        #: A document's terms are ``place[of[i] : of[i + 1]]``.
+        self.of = np.searchsorted(doc, np.arange(self.n + 1))
+        by_term = np.argsort(self.place, kind="stable")
+        self.bounds = np.append(0, np.cumsum(df))
         self.posted, self.weights = doc[by_term], weight[by_term]
-        #: Each document asks with its heaviest terms that another document has.
-        self.queries = []
-        cut = np.cumsum([len(x) for x in terms])[:-1]
-        for p, w in zip(np.split(place, cut), np.split(np.where(df[place] > 1, weight, 0.0), cut), strict=True):
-            best = np.argsort(-w, kind="stable")[:query_terms]
-            self.queries.append(p[best[w[best] > 0]])
+        common = np.flatnonzero(4 * df > self.n)
+        self.row = np.full(len(vocabulary), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n), np.float32)
+        dense = self.row[self.place] >= 0
+        self.rows[self.row[self.place[dense]], doc[dense]] = weight[dense]
 
     def scores(self, doc: int) -> np.ndarray:
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in self.queries[doc]]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(
-            np.concatenate([self.posted[s] for s in spans]),
-            np.concatenate([self.weights[s] for s in spans]),
-            self.n,
-        )
+        """Every document's score for all terms of ``doc``."""
+        terms = self.place[self.of[doc] : self.of[doc + 1]]
+        rows = self.row[terms]
+        out = self.rows[rows[rows >= 0]].sum(axis=0)
+        rare = terms[rows < 0]
+        n = self.bounds[rare + 1] - self.bounds[rare]
+        if n.sum():
+            spots = np.repeat(self.bounds[rare] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            out += np.bincount(self.posted[spots], self.weights[spots], self.n).astype(np.float32)
+        return out
 
 
 class Packer:
     """Packs the documents of one partition; ``add`` and ``finish`` yield pieces
     (doc_id, start, ids, doc_tokens, sequence number, offset, seed's doc_id)."""
 
-    def __init__(self, window: int, shard_docs: int, query_terms: int) -> None:
-        self.window, self.shard_docs, self.query_terms = window, shard_docs, query_terms
+    def __init__(self, window: int, shard_docs: int) -> None:
+        self.window, self.shard_docs = window, shard_docs
         self.waiting: list[tuple] = []  # (doc_id, start, bytes, doc_tokens)
         self.sequence = 0
 
@@ -169,7 +181,7 @@ class Packer:
         items = self.waiting
         if not items:
             return
-        shard = Shard([np.frombuffer(x[2], "<u4") for x in items], self.query_terms)
+        shard = Shard([np.frombuffer(x[2], "<u4") for x in items])
         left = [len(x[2]) // 4 for x in items]
         unused = np.ones(len(items), bool)
         tokens = sum(left)
@@ -228,7 +240,6 @@ def pack(
     window: int = 4096,
     end_id: int = 2,
     shard_docs: int = 1024,
-    query_terms: int = 24,
 ) -> DataFrame:
     """Pieces of token sequences: ``doc_id, start, ids (binary, 32-bit little-endian), doc_tokens,
     sequence_id, offset, seed_doc_id``.
@@ -248,7 +259,7 @@ def pack(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = token_ids(definition.value)
-        packer = Packer(window, shard_docs, query_terms)
+        packer = Packer(window, shard_docs)
         base = TaskContext.get().partitionId() << 32
         out: list[tuple] = []
         held = 0
