@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,34 +59,45 @@ def _substrings(text: str, order: int) -> list[str]:
 
 @dataclass
 class UrlModel:
-    """``delta`` maps a context and the character after it to log P_accepted - log P_rejected.
+    """``delta`` maps a context and the character after it to log P_accepted - log P_rejected, ``back`` a context to
+    the same difference of what the two models pass on to the next shorter context.
 
-    A model too large to be sent has them in ``table`` (gram, delta) instead.
+    A model too large to be sent has them in ``table`` (gram, delta) and ``contexts`` (context, back) instead.
     """
 
     order: int
     delta: dict[str, float]
+    back: dict[str, float]
     threshold: float
     table: DataFrame | None = None
+    contexts: DataFrame | None = None
 
     def score(self, url: str | None) -> float:
-        """Length-normalised log likelihood difference, by the longest known context of each character."""
-        text, total, delta = _spelled(url), 0.0, self.delta
+        """Length-normalised log likelihood difference: each character by the longest context that it is known in, and
+        what longer contexts pass on."""
+        text, total, delta, back = _spelled(url), 0.0, self.delta, self.back
         for i in range(1, len(text)):
             for k in range(min(i, self.order), -1, -1):
                 found = delta.get(text[i - k : i + 1])
                 if found is not None:
                     total += found
                     break
+                total += back.get(text[i - k : i], 0.0)
         return total / (len(text) - 1)
 
 
-def _log_probabilities(counts: dict[str, int], alphabet: int, order: int, grams: list[str]) -> dict[str, float]:
-    """Witten-Bell: P(c | ctx) = (n(ctx c) + t(ctx) P(c | shorter ctx)) / (n(ctx) + t(ctx))."""
+def _seen(counts: dict[str, int]) -> tuple[Counter, Counter]:
+    """How often each context occurs, and with how many different characters after it."""
     seen, kinds = Counter(), Counter()
     for gram, n in counts.items():
         seen[gram[:-1]] += n
         kinds[gram[:-1]] += 1
+    return seen, kinds
+
+
+def _log_probabilities(counts: dict[str, int], alphabet: int, order: int, grams: list[str]) -> dict[str, float]:
+    """Witten-Bell: P(c | ctx) = (n(ctx c) + t(ctx) P(c | shorter ctx)) / (n(ctx) + t(ctx)); P(c | shorter ctx) after an unseen one."""
+    seen, kinds = _seen(counts)
     out: dict[str, float] = {}
     for gram in sorted(grams, key=len):
         context, shorter = gram[:-1], out.get(gram[1:], 1.0 / alphabet) if len(gram) > 1 else 1.0 / alphabet
@@ -94,13 +106,26 @@ def _log_probabilities(counts: dict[str, int], alphabet: int, order: int, grams:
     return out
 
 
-def _differences(counted: DataFrame, alphabet: int, order: int) -> DataFrame:
-    """(gram, delta) of all ``counted`` (gram, a, r): :func:`_log_probabilities` of both sides as joins, from short to long."""
+def _in_memory(counted: list[tuple[str, int, int]], alphabet: int, order: int) -> tuple[dict[str, float], dict[str, float]]:
+    """``delta`` and ``back`` of (gram, a, r)."""
+    sides = [{x[0]: x[i] for x in counted if x[i]} for i in (1, 2)]
+    p, q = (_log_probabilities(side, alphabet, order, [x[0] for x in counted]) for side in sides)
+    back: dict[str, float] = {}
+    for sign, side in zip((1, -1), sides, strict=True):
+        seen, kinds = _seen(side)
+        for context, n in seen.items():
+            back[context] = back.get(context, 0.0) + sign * float(np.log(kinds[context] / (n + kinds[context])))
+    return {g: float(np.log(p[g]) - np.log(q[g])) for g in p}, back
+
+
+def _as_tables(counted: DataFrame, alphabet: int, order: int) -> tuple[DataFrame, DataFrame]:
+    """(gram, delta) and (context, back) of all ``counted`` (gram, a, r): :func:`_in_memory` as joins, from short to long."""
     size = F.length("gram")
     rows = counted.select("gram", "a", "r", size.alias("k"), F.expr("substring(gram, 1, length(gram) - 1)").alias("context"), F.expr("substring(gram, 2)").alias("shorter"))
-    totals = rows.groupBy("context").agg(F.sum("a").alias("n_a"), F.count_if(F.col("a") > 0).alias("t_a"), F.sum("r").alias("n_r"), F.count_if(F.col("r") > 0).alias("t_r"))
+    totals = stored(rows.groupBy("context").agg(F.sum("a").alias("n_a"), F.count_if(F.col("a") > 0).alias("t_a"), F.sum("r").alias("n_r"), F.count_if(F.col("r") > 0).alias("t_r")), "totals")
     rows = stored(rows.join(totals, "context"), "contexts")
-    shorter, levels = None, []
+    shares = [F.when(F.col(f"n_{s}") > 0, F.log(F.col(f"t_{s}") / (F.col(f"n_{s}") + F.col(f"t_{s}")))).otherwise(0.0) for s in ("a", "r")]
+    levels, shorter = [], None
     for k in range(1, order + 2):
         level = rows.where(F.col("k") == k)
         if shorter is None:
@@ -110,10 +135,7 @@ def _differences(counted: DataFrame, alphabet: int, order: int) -> DataFrame:
         smoothed = [F.when(F.col(f"n_{s}") > 0, (F.col(s) + F.col(f"t_{s}") * F.col(f"p_{s}")) / (F.col(f"n_{s}") + F.col(f"t_{s}"))).otherwise(F.col(f"p_{s}")).alias(f"q_{s}") for s in ("a", "r")]
         shorter = stored(level.select("gram", *smoothed), "probabilities")
         levels.append(shorter.select("gram", (F.log("q_a") - F.log("q_r")).alias("delta")))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    return reduce(DataFrame.unionByName, levels), totals.select("context", (shares[0] - shares[1]).alias("back"))
 
 
 def fit(labelled: DataFrame, *, url_col: str = "url", verdict_col: str = "verdict", order: int = 5, max_grams: int = 400_000, false_blocks: float = 0.01) -> UrlModel:
@@ -152,17 +174,13 @@ def fit(labelled: DataFrame, *, url_col: str = "url", verdict_col: str = "verdic
     counted = stored(counted, "substrings")
     size = counted.agg(F.count(F.lit(1)).alias("grams"), F.sum("a").alias("a"), F.sum("r").alias("r"), F.count_if(F.length("gram") == 1).alias("letters")).first()
     if not size["a"] or not size["r"]:
-        return UrlModel(order, {}, -1.0)
+        return UrlModel(order, {}, {}, -1.0)
     alphabet = size["letters"] + 1
     if size["grams"] > max_grams:
-        model = UrlModel(order, {}, -1.0, stored(_differences(counted, alphabet, order), "model"))
+        deltas, backs = _as_tables(counted, alphabet, order)
+        model = UrlModel(order, {}, {}, -1.0, stored(deltas, "model"), stored(backs, "contexts"))
     else:
-        every = counted.collect()
-        accepted = {r["gram"]: r["a"] for r in every if r["a"]}
-        rejected = {r["gram"]: r["r"] for r in every if r["r"]}
-        grams = [r["gram"] for r in every]
-        p, q = _log_probabilities(accepted, alphabet, order, grams), _log_probabilities(rejected, alphabet, order, grams)
-        model = UrlModel(order, {g: float(np.log(p[g]) - np.log(q[g])) for g in grams}, -1.0)
+        model = UrlModel(order, *_in_memory([(r["gram"], r["a"], r["r"]) for r in counted.collect()], alphabet, order), -1.0)
     scored = score(rows.where(held & F.col("accepted")), model)
     low = scored.agg(F.expr(f"percentile_approx(url_score, {false_blocks}, 100000)").alias("low")).first()["low"]
     model.threshold = min(0.0, low) if low is not None else 0.0
@@ -171,7 +189,7 @@ def fit(labelled: DataFrame, *, url_col: str = "url", verdict_col: str = "verdic
 
 def _joined_score(urls: DataFrame, model: UrlModel, url_col: str) -> DataFrame:
     """The scores of :meth:`UrlModel.score` by joins: each distinct run of up to ``order`` + 1 characters is
-    looked up once, by its longest known end, and every distinct URL adds up its runs in their order."""
+    looked up once, with all its ends and their contexts, and every distinct URL adds up its runs in their order."""
     order, url = model.order, F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(url)
@@ -194,8 +212,17 @@ def _joined_score(urls: DataFrame, model: UrlModel, url_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(runs, pa.string())], names=names)
 
     pieces = map_arrow(texts, cut, "id long, at int, run string")
-    ends = pieces.select("run").distinct().select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("k")).select("run", F.expr("substring(run, k)").alias("gram"))
-    found = ends.join(model.table, "gram").groupBy("run").agg(F.max_by("delta", F.length("gram")).alias("delta"))
+    size = F.length("run")
+    ends = pieces.select("run").distinct().select("run", F.explode(F.sequence(F.lit(1), size)).alias("k"))
+    ends = ends.select("run", (size - F.col("k")).alias("length"), F.expr("substring(run, k)").alias("gram"), F.expr("substring(run, k, length(run) - k)").alias("context"))
+    # at most order + 1 ends of a run; the character after its longest known context, and what longer ones pass on
+    looked_up = ends.join(model.table, "gram", "left").join(model.contexts, "context", "left")
+    sums = looked_up.groupBy("run").agg(
+        F.max(F.when(F.col("delta").isNotNull(), F.struct("length", "delta"))).alias("known"),
+        F.array_sort(F.collect_list(F.when(F.col("back").isNotNull(), F.struct("length", "back")))).alias("backs"),
+    )
+    longer = F.filter("backs", lambda x: x["length"] > F.coalesce(F.col("known.length"), F.lit(-1)))
+    found = sums.select("run", F.aggregate(longer, F.coalesce(F.col("known.delta"), F.lit(0.0)), lambda total, x: total + x["back"]).alias("delta"))
     parts = F.array_sort(F.collect_list(F.struct("at", "delta")))
     sums = pieces.join(found, "run").groupBy("id").agg(F.aggregate(parts, F.lit(0.0), lambda total, x: total + x["delta"]).alias("total"))
     scores = texts.join(sums, "id", "left").select(F.col("text").alias("__text"), (F.coalesce("total", F.lit(0.0)) / (F.length("text") - 1)).alias("__score"))

@@ -90,3 +90,33 @@ def test_a_model_too_large_to_send_is_whole(spark):
     got, wanted = sorted(score(asked, large).collect(), key=key), sorted(score(asked, small).collect(), key=key)
     assert [r.url for r in got] == [r.url for r in wanted]
     assert [r.url_score for r in got] == pytest.approx([r.url_score for r in wanted], abs=1e-12)
+
+
+def recursed(text, counts, alphabet, order):
+    """Log likelihood of each character after the first, by the recursion."""
+    import math
+
+    def p(context, c):
+        after = {g[-1]: n for g, n in counts.items() if g[:-1] == context}
+        shorter = p(context[1:], c) if context else 1 / alphabet
+        n, t = sum(after.values()), len(after)
+        return (after.get(c, 0) + t * shorter) / (n + t) if n else shorter
+
+    return sum(math.log(p(text[max(0, i - order) : i], text[i])) for i in range(1, len(text)))
+
+
+def test_scores_are_log_likelihood_differences(spark):
+    from collections import Counter
+
+    from docloom.llm.url_filter import _spelled, _substrings
+
+    good, bad = urls(25)
+    labelled = spark.createDataFrame([(u, "allow") for u in good] + [(u, "block") for u in bad], "url string, verdict string")
+    trained = {(r.url, r.verdict) for r in labelled.where(F.pmod(F.xxhash64("url"), F.lit(5)) != 0).collect()}
+    counts = {v: Counter(g for u, x in trained if x == v for g in _substrings(_spelled(u), 3)) for v in ("allow", "block")}
+    alphabet = len({g for c in counts.values() for g in c if len(g) == 1}) + 1
+    texts = [good[0], bad[1], "http://news.org/Ωq$-casino", "ftp://win-aeiou.net/de/", "", "a://news.news.news", "x://bonus-xqz"]
+    wanted = {u: (recursed(_spelled(u), counts["allow"], alphabet, 3) - recursed(_spelled(u), counts["block"], alphabet, 3)) / (len(_spelled(u)) - 1) for u in texts}
+    asked = spark.createDataFrame([(u,) for u in texts], "url string")
+    for model in (fit(labelled, order=3), fit(labelled, order=3, max_grams=10)):
+        assert {r.url: r.url_score for r in score(asked, model).collect()} == pytest.approx(wanted, abs=1e-9)
