@@ -54,3 +54,16 @@ def test_redact(spark):
 
 def test_empty_table(spark):
     assert scan(frame(spark, [])).collect() == [] == redact(frame(spark, [])).collect()
+
+
+def test_long_repeats_and_clashing_names(spark):
+    texts = {1: "x@a" + ".b" * 1_000_000, 2: "a." * 500_000 + "1.2.3." * 1000, 3: "password = abcdefgh " * 3000 + "end", 4: "token=aaaaaaaa0123456789abcdef0123456789 é", 5: None, 6: ""}
+    schema = "doc_id long, text string, __hash long, __id long, __spans string, spans string, text_hash string"
+    frame = spark.createDataFrame([(i, t, 1, 2, "a", "b", "c") for i, t in texts.items()], schema)
+    got = {r.doc_id: r for r in redact(frame).collect()}
+    assert got[1].asDict() == {"doc_id": 1, "text": texts[1], "__hash": 1, "__id": 2, "__spans": "a", "spans": "b", "text_hash": "c"}
+    assert got[2].text == texts[2] and got[5].text is None and got[6].text == ""
+    assert got[3].text == "<secret> " * 3000 + "end"
+    assert got[4].text == "<secret> é"
+    found = {r.doc_id: r.spans for r in scan(frame).collect()}
+    assert found[1] == [] and len(found[3]) == 3000
