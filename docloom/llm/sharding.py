@@ -12,6 +12,7 @@ driver plans.
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,10 +38,8 @@ class SlotMap:
     @classmethod
     def plan(cls, loads: list[int], shards: int, units_per_slot: int, whole_share: float = 0.75) -> SlotMap:
         """Version 1: the largest pieces first, each to the shard with the fewest bytes (ties: lowest number)."""
-        most = whole_share * sum(loads) / shards
-        slots = range(len(loads) // units_per_slot)
-        split = frozenset(s for s in slots if sum(loads[s * units_per_slot : (s + 1) * units_per_slot]) > most)
-        empty = cls(1, shards, units_per_slot, tuple(loads), split, (0,) * len(loads))
+        empty = cls(1, shards, units_per_slot, tuple(loads), frozenset(), (0,) * len(loads))
+        empty = replace(empty, split=empty.hot(whole_share))
         pieces = sorted(empty.pieces(), key=lambda p: (-p[0], p[1]))
         assignment = [0] * len(loads)
         heap = [(0, s) for s in range(shards)]
@@ -51,6 +50,11 @@ class SlotMap:
             heapq.heappush(heap, (held + size, shard))
         return replace(empty, assignment=tuple(assignment))
 
+    def hot(self, whole_share: float = 0.75) -> frozenset[int]:
+        """Slots with more bytes than a share of a shard."""
+        k, most = self.units_per_slot, whole_share * sum(self.loads) / self.shards
+        return frozenset(s for s in range(len(self.loads) // k) if sum(self.loads[s * k : (s + 1) * k]) > most)
+
     def pieces(self) -> list[tuple[int, tuple[int, ...]]]:
         """What the map moves: (bytes, units)."""
         k, out = self.units_per_slot, []
@@ -73,6 +77,7 @@ class SlotMap:
         """The next version for new bytes or more shards: pieces move from the fullest to the emptiest
         shard, the largest that fits the gap first, until they differ by at most ``tolerance`` of the mean."""
         new = replace(self, version=self.version + 1, loads=tuple(loads or self.loads), shards=shards or self.shards)
+        new = replace(new, split=new.split | new.hot())
         assignment, held = list(new.assignment), new.held()
         by_shard: dict[int, list] = {s: [] for s in range(new.shards)}
         for size, units in new.pieces():
@@ -101,14 +106,33 @@ class SlotMap:
         units = spark.range(len(self.assignment), numPartitions=1)
         return units.select(F.col("id").alias("unit"), F.element_at(held, (F.col("id") + 1).cast("int")).cast("int").alias("shard"))
 
-    def save(self, spark: SparkSession, path: str | None = None) -> str:
+    def save(self, spark: SparkSession, path: str) -> str:
         """Writes this version as a table of its own under ``path`` and returns the table's path."""
-        path = f"{path or shared_dir(spark) + '/docloom/slot-map'}/version={self.version}"
+        path = f"{path}/version={self.version}"
         loads = F.split(F.lit(",".join(map(str, self.loads))), ",")
         rows = self.frame(spark).withColumn("bytes", F.element_at(loads, (F.col("unit") + 1).cast("int")).cast("long"))
-        rows.withColumns({"shards": F.lit(self.shards), "units_per_slot": F.lit(self.units_per_slot)}).write.mode("overwrite").parquet(path)
+        split = F.array(*[F.lit(s) for s in sorted(self.split)]).cast("array<int>")
+        rows = rows.withColumns({"shards": F.lit(self.shards), "units_per_slot": F.lit(self.units_per_slot), "is_split": F.array_contains(split, F.floor(F.col("unit") / self.units_per_slot).cast("int"))})
+        rows.write.mode("overwrite").parquet(path)
         return path
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+        """The map of ``version``, or the newest, that was saved under ``path``; None if there is none."""
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return None
+        names = [x.getPath().getName() for x in files.listStatus(folder)]
+        versions = [int(x.split("=")[1]) for x in names if x.startswith("version=")]
+        if not versions or (version is not None and version not in versions):
+            return None
+        version = max(versions) if version is None else version
+        rows = sorted(spark.read.parquet(f"{path}/version={version}").collect(), key=lambda r: r["unit"])  # slots * units_per_slot rows
+        per_slot = rows[0]["units_per_slot"]
+        split = frozenset(r["unit"] // per_slot for r in rows if r["is_split"])
+        return cls(version, rows[0]["shards"], per_slot, tuple(r["bytes"] for r in rows), split, tuple(r["shard"] for r in rows))
+
 
 def text_size(text: Column) -> Column:
     """UTF-8 bytes plus 1; a null text has none."""
@@ -137,6 +161,10 @@ def shard(
 ) -> tuple[DataFrame, SlotMap]:
     """Each record's ``doc_id, size, text_crc32, shard, slot``, and the map it follows.
 
+    Under ``save_map`` lie the versions of the map.  If there is one for as many slots, the newest is rebalanced for
+    the bytes of these records and saved as the next version, so that few slots move; else version 1 is planned.
+    Without ``save_map`` the map is saved in a new folder of the shared one.
+
     ``slot`` counts the records of a shard from 0 without gaps, by unit and in it by id, size and checksum.
     A null or empty text counts 1 byte; null ids are hashed as such; repeated rows are placed side by side;
     an empty table gives no rows and an even map; further columns are ignored.  Equal texts share a shard
@@ -148,8 +176,14 @@ def shard(
     loads = [0] * (slots * units_per_slot)
     for r in sums.select("unit", "bytes").collect():  # at most slots * units_per_slot rows
         loads[r["unit"]] = r["bytes"]
-    plan = SlotMap.plan(loads, shards, units_per_slot)
-    plan.save(spark, save_map)
+    path = save_map or f"{shared_dir(spark)}/docloom/slot-map-{uuid.uuid4().hex}"
+    last = SlotMap.load(spark, path)
+    if last and len(last.loads) == len(loads) and last.units_per_slot == units_per_slot and last.shards <= shards:
+        plan = last.rebalanced(loads, shards)
+    else:
+        plan = SlotMap.plan(loads, shards, units_per_slot)
+        plan = replace(plan, version=last.version + 1) if last else plan
+    plan.save(spark, path)
     before = Window.partitionBy("shard").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
     units = plan.frame(spark).join(F.broadcast(sums.select("unit", "rows")), "unit")
     placed = units.withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0))).select("unit", "shard", "base")

@@ -64,3 +64,17 @@ def test_saved_versions(spark, tmp_path):
 def test_empty_table(spark):
     got, plan = placed(spark, [])
     assert got == [] and plan.held() == [0] * 16
+
+
+def test_a_stored_map_is_edited(spark, tmp_path):
+    path, rng = str(tmp_path / "map"), random.Random(4)
+    assert SlotMap.load(spark, path) is None
+    rows = [(i, "x" * rng.randint(0, 300)) for i in range(4000)]
+    first, plan = placed(spark, rows, shards=4, slots=256, save_map=path)
+    assert plan.version == 1 and SlotMap.load(spark, path) == plan
+    grown, bigger = placed(spark, rows + [(5000 + i, "y" * rng.randint(0, 300)) for i in range(400)], shards=5, slots=256, save_map=path)
+    assert bigger.version == 2 and SlotMap.load(spark, path) == bigger and SlotMap.load(spark, path, 1) == plan
+    assert max(bigger.held()) <= 1.1 * min(bigger.held())
+    before = {r.doc_id: r.shard for r in first}
+    moved = sum(1 for r in grown if r.doc_id < 5000 and r.shard != before[r.doc_id])
+    assert moved < 0.4 * len(rows)
