@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import tomllib
 from collections.abc import Callable
@@ -16,8 +17,16 @@ FILE_VARIABLE = "DOCLOOM_CONFIG"
 FILE_NAME = "docloom.toml"
 
 
+_TRUE = ("1", "true", "yes", "on")
+
+
 def as_bool(raw: str) -> bool:
-    return raw.strip().lower() in ("1", "true", "yes", "on")
+    """For text that people write: blanks around it don't count.  Variables are read by :func:`as_flag`."""
+    return as_flag(raw.strip())
+
+
+def as_flag(raw: str) -> bool:
+    return raw.lower() in _TRUE
 
 
 def as_strings(raw: str) -> tuple[str, ...]:
@@ -25,7 +34,7 @@ def as_strings(raw: str) -> tuple[str, ...]:
 
 
 def as_block_types(raw: str) -> frozenset[str]:
-    return _checked_types(as_strings(raw))
+    return _checked_types(x.lower() for x in as_strings(raw))
 
 
 def _checked_types(names: Any) -> frozenset[str]:
@@ -66,7 +75,7 @@ class PipelineSettings:
     digital_born_workers: int = 1
     bundle_miss_images_for: frozenset[str] = field(default_factory=lambda: frozenset(BLOCK_TYPES))
     formula_enabled: bool = True
-    formula_model_id: str = ""
+    formula_model_id: str = "PaddlePaddle/PP-FormulaNet-L_safetensors"
     formula_device: str = "cuda:0"
     formula_dtype: str = "fp16"
     formula_batch_size: int = 4
@@ -107,20 +116,29 @@ def parser(name: str) -> Callable[[str], Any]:
     if name in special:
         return special[name]
     kind = {f.name: f.type for f in fields(PipelineSettings)}[name]
-    return {"bool": as_bool, "int": int, "float": float}.get(kind, str)
+    return {"bool": as_flag, "int": int, "float": float}.get(kind, str)
 
 
 @dataclass(frozen=True, slots=True)
 class ApiSettings:
     host: str = "0.0.0.0"
     port: int = 8000
-    boot_timeout_s: float = 300.0
+    boot_timeout_s: int = 120
 
 
 @dataclass(frozen=True, slots=True)
 class LoggingSettings:
+    """Levels of the root and this package, and of the PDF library, which says much at INFO."""
+
     level: str = "INFO"
-    format: str = "%(asctime)s %(levelname)s %(name)s %(message)s"
+    pdf_oxide_level: str = "WARNING"
+    format: str = "%(asctime)s %(levelname)-7s %(name)s :: %(message)s"
+
+    def apply(self) -> None:
+        """Sets handlers and levels anew; applications call this once, the package itself never does."""
+        logging.basicConfig(level=self.level, format=self.format, force=True)
+        for name, level in (("docloom", self.level), ("pdf_oxide", self.pdf_oxide_level)):
+            logging.getLogger(name).setLevel(level)
 
 
 @dataclass(frozen=True, slots=True)

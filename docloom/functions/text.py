@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.schema import BLOCK_TYPES
+
 #: Unicode white space and the four separators U+001C to U+001F.
 _SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^{_SPACE}+", ""), f"{_SPACE}+$", "")
+    # a run of blanks that ends in the middle is passed over once: it can't be entered behind its first blank
+    return F.regexp_replace(F.regexp_replace(text, f"^{_SPACE}+", ""), rf"(?U)(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++$", "")
 
 
 def non_empty(text: Column) -> Column:
@@ -93,9 +96,18 @@ def shown_number(value: Column) -> Column:
 
 
 def parsed_bool(text: Column) -> Column:
-    return F.lower(strip(text)).isin("1", "true", "yes", "on")
+    """Blanks around a word make it another one, which is false."""
+    return F.lower(text).isin("1", "true", "yes", "on")
 
 
 def parsed_list(text: Column) -> Column:
     """The parts between commas, stripped, without empty ones."""
     return F.filter(F.transform(F.split(text, ","), strip), lambda x: x != "")
+
+
+def parsed_block_types(text: Column) -> Column:
+    """The distinct parts between commas, stripped and lower-cased; an unknown type is an error."""
+    names = F.array_distinct(F.transform(parsed_list(text), F.lower))
+    unknown = F.array_except(names, F.array(*map(F.lit, BLOCK_TYPES)))
+    said = F.concat(F.lit("unknown block types: "), F.array_join(F.array_sort(unknown), ", "))
+    return F.when(F.size(unknown) == 0, names).otherwise(F.raise_error(said).cast("array<string>"))

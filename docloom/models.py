@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +45,12 @@ class TableModel(Protocol):
     def structure(self, crops: list[bytes]) -> list[tuple[list[list[float]], list[list[int]]]]: ...
 
 
-_made: dict[tuple, object] = {}
+_made: dict[bytes, object] = {}
 
 
 def resident(factory: Callable[[], object]) -> object:
     """The worker's model of this factory, made at first use."""
-    key = (factory.__module__, factory.__qualname__)
+    key = cloudpickle.dumps(factory)  # lambdas and partials too are told apart, by what they hold
     if key not in _made:
         _made[key] = factory()
     return _made[key]

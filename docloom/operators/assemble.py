@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.geometry import rounded
-from docloom.schema import BLOCK, CELL
+from docloom.functions.json_text import indented
+from docloom.schema import BLOCK, CELL, DOCUMENT
 
 _BLOCK_FIELDS = [f.name for f in BLOCK]
 
@@ -55,19 +55,6 @@ def cells_of(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "page_idx", "block_idx", F.posexplode("cells").alias("cell_idx", "cell")).select("doc_id", "page_idx", "block_idx", "cell_idx", "cell.*")
 
 
-def _box_list(box: Column) -> Column:
-    r = rounded(box)
-    return F.array(r["x1"], r["y1"], r["x2"], r["y2"])
-
-
 def json_text(document: Column) -> Column:
     """The document as JSON: nulls kept, boxes as lists rounded to two decimals, two blanks of indentation."""
-
-    def cell(c: Column) -> Column:
-        return c.withField("bbox", _box_list(c["bbox"]))
-
-    def block(b: Column) -> Column:
-        return b.withField("bbox", _box_list(b["bbox"])).withField("cells", F.transform(b["cells"], cell))
-
-    pages = F.transform(document["pages"], lambda p: p.withField("blocks", F.transform(p["blocks"], block)))
-    return F.to_json(document.withField("pages", pages), {"ignoreNullFields": "false", "pretty": "true"})
+    return indented(document, DOCUMENT)

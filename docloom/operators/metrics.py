@@ -26,10 +26,29 @@ def last_per_stage(log: DataFrame) -> DataFrame:
     return log.groupBy("pdf", "stage").agg(F.max_by("elapsed", "seq").alias("elapsed"))
 
 
-def cumulative(runs: DataFrame, *, arm: str = "arm", index: str = "idx", value: str = "wall", out: str = "total") -> DataFrame:
-    """Running sum along each arm."""
-    window = Window.partitionBy(arm).orderBy(index).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return runs.withColumn(out, F.sum(value).over(window))
+def _ranges(rows: DataFrame, key: str, index: str, what: Column, span: int) -> tuple[DataFrame, list[str]]:
+    """``rows`` with ``__range`` of their index and ``__before``: the sum of ``what`` over the key's earlier ranges.
+
+    A key's rows so lie in many tasks, and only one row a range is put in order.
+    """
+    ranged = rows.withColumn("__range", F.floor(F.col(index) / span))
+    by = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(key, "__range").agg(what.alias("__sum"))
+    return ranged.join(sums.select(key, "__range", F.sum("__sum").over(by).alias("__before")), [key, "__range"]), [key, "__range"]
+
+
+def numbered(rows: DataFrame, *, key: str, index: str, out: str = "idx", span: int = 1 << 16) -> DataFrame:
+    """``out``: the row's place from 1 in its key by the numeric ``index``."""
+    ranged, group = _ranges(rows, key, index, F.count(F.lit(1)), span)
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(index)).cast("long")
+    return ranged.withColumn(out, F.coalesce("__before", F.lit(0)) + place).drop("__range", "__before")
+
+
+def cumulative(runs: DataFrame, *, arm: str = "arm", index: str = "idx", value: str = "wall", out: str = "total", span: int = 1 << 16) -> DataFrame:
+    """Running sum along each arm, by ranges of the index."""
+    ranged, group = _ranges(runs, arm, index, F.sum(value), span)
+    window = Window.partitionBy(*group).orderBy(index).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranged.withColumn(out, F.coalesce("__before", F.lit(0)) + F.sum(value).over(window)).drop("__range", "__before")
 
 
 def crossover(runs: DataFrame, challenger: str, base: str, *, arm: str = "arm", index: str = "idx", value: str = "wall") -> DataFrame:
@@ -60,20 +79,43 @@ def speedup(runs: DataFrame, *, key: str, value: str) -> DataFrame:
 
 
 def level_summary(calls: DataFrame) -> DataFrame:
-    """Calls (``level, ok, client_s, server_s, wall_s``) by level: counts, percentiles, throughput and queue wait."""
+    """Calls (``level, ok, client_s, server_s, wall_s``) by level, to three decimals: the server's time and its percentiles,
+    the client's median, what a call waits beside the server's work, good calls a minute.  A level without good calls has zeros."""
     good = F.col("ok")
-    client = F.when(good, F.col("client_s"))
+    server, client = F.when(good, F.col("server_s")), F.when(good, F.col("client_s"))
     wait = F.when(good, F.greatest(F.col("client_s") - F.col("server_s"), F.lit(0.0)))
+    said = {
+        "median_s": F.median(server),
+        "p95_s": F.percentile(server, 0.95),
+        "p99_s": F.percentile(server, 0.99),
+        "client_median_s": F.median(client),
+        "queue_wait_s": F.median(wait),
+        "wall_s": F.max("wall_s"),
+    }
     out = calls.groupBy("level").agg(
-        F.count_if(good).alias("n_ok"),
-        F.count_if(~good).alias("n_failed"),
-        F.median(client).alias("median_s"),
-        F.percentile(client, 0.95).alias("p95_s"),
-        F.percentile(client, 0.99).alias("p99_s"),
-        F.median(wait).alias("queue_wait_s"),
-        F.max("wall_s").alias("wall_s"),
+        F.count(F.lit(1)).alias("n_clients"), F.count_if(good).alias("n_ok"), F.count_if(~good).alias("n_failed"), *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in said.items()]
     )
-    return out.withColumn("per_minute", F.when(F.col("wall_s") > 0, F.col("n_ok") / F.col("wall_s") * 60).otherwise(0.0))
+    out = out.withColumn("per_minute", F.when(F.col("wall_s") > 0, F.col("n_ok") / F.col("wall_s") * 60).otherwise(0.0))
+    failed = F.col("n_ok") == 0
+    return out.withColumns({n: F.bround(n, 3) for n in (*said, "per_minute")}).withColumns({"status": F.when(failed, "error").otherwise("ok"), "error": F.when(failed, "all clients failed").otherwise("")})
+
+
+def cost_each(runs: DataFrame, *, size: str = "size", wall: str = "wall_s", parsed: Column | None = None) -> DataFrame:
+    """By size: milliseconds an entry of the median run, and the entries that were parsed."""
+    ms = F.when(F.col(size) > 0, F.col(wall) / F.col(size) * 1000)
+    return runs.groupBy(size).agg(F.median(ms).alias("ms_each"), F.count_if(F.lit(True) if parsed is None else parsed).alias("parsed"), F.count(F.lit(1)).alias("runs"))
+
+
+def arms(runs: DataFrame, arm: str = "arm") -> DataFrame:
+    """The distinct arms with their place in sorted order, from 0."""
+    names = runs.select(arm).where(F.col(arm).isNotNull()).distinct()
+    return names.withColumn("place", F.row_number().over(Window.orderBy(arm)) - 1)  # one row an arm
+
+
+def by_arm(runs: DataFrame, *, arm: str = "arm", index: str = "idx", block: int = 1000) -> DataFrame:
+    """Each arm's indexes in lists by ranges of ``block``: no list grows with the input."""
+    rows = runs.groupBy(F.col(arm).alias("arm"), F.floor(F.col(index) / block).alias("block"))
+    return rows.agg(F.array_sort(F.collect_list(index)).alias("indexes"))
 
 
 def first_last(runs: DataFrame, *, arm: str, index: str, value: str) -> DataFrame:
@@ -125,11 +167,42 @@ def ok_and_failed(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs.where("status = 'ok'"), runs.where("status IS NULL OR status <> 'ok'")
 
 
-def sweep_grid(base: DataFrame, values: DataFrame) -> DataFrame:
-    """Every value of the (small) grid on every base configuration."""
+#: Presets of several knobs (fixed values): areas and token caps of the formula buckets; render resolution and areas.
+BUCKET_PRESETS = {
+    "default": (2500, 15000, 192, 512),
+    "wider_small": (5000, 15000, 256, 512),
+    "wider_medium": (2500, 30000, 192, 768),
+    "tighter": (1500, 8000, 128, 384),
+    "scaled_2x": (5000, 30000, 192, 512),
+}
+DPI_PRESETS = {"150_default": (150, 2500, 15000), "300_default": (300, 2500, 15000), "150_scaled_4x": (150, 10000, 60000), "300_scaled_4x": (300, 10000, 60000)}
+_BUCKET_KNOBS = ("formula_bucket_small_threshold", "formula_bucket_medium_threshold", "formula_bucket_small_tokens", "formula_bucket_medium_tokens")
+
+
+def preset(knob: str, value: str) -> dict[str, object]:
+    """The settings that a named value of a sweep stands for; an unknown name is a KeyError."""
+    formulas = {"formula_enabled": True, "formula_bucketed": True}
+    if knob == "formula_bucket_thresholds":
+        return formulas | dict(zip(_BUCKET_KNOBS, BUCKET_PRESETS[value], strict=True))
+    if knob == "dpi_bucket_interaction":
+        return formulas | dict(zip(("render_dpi_digital_born", *_BUCKET_KNOBS[:2]), DPI_PRESETS[value], strict=True))
+    if knob == "stages":
+        return dict.fromkeys(("formula_enabled", "table_enabled", "references_enabled"), True) if value == "all_on" else {}
+    raise KeyError(knob)
+
+
+def sweep_grid(base: DataFrame, values: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every value of the grid on every base configuration; a grid of over ``most`` rows is an error."""
+    if values.limit(most + 1).count() > most:
+        raise ValueError(f"a sweep has at most {most} values")
     return base.crossJoin(F.broadcast(values))
 
 
+def exit_code(runs: DataFrame) -> int:
+    """0 if no run failed, else 2."""
+    return 0 if runs.where("status = 'failed'").isEmpty() else 2
+
+
 def overridden(overrides: Column, key: Column, default: Column) -> Column:
     return F.coalesce(F.try_element_at(overrides, key), default)
 

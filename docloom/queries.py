@@ -194,12 +194,12 @@ def OP44_OP45_splice(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:4]) AS value, CAST(generate_subscripts(string_split(text, chr(10))[1:4], 1) - 1 AS INT) AS position FROM documents)
+    """WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS position FROM documents)
     SELECT doc_id, position, value, string_split(lang || ',' || source, ',')[position + 1] AS result FROM a JOIN documents USING (doc_id)"""
 )
 def OP46_positional_zip(spark, d):
     rows = table(spark, d, "documents")
-    left = rows.select("doc_id", F.slice(F.split("text", "\n"), 1, 4).alias("values"))
+    left = rows.select("doc_id", F.split("text", "\n").alias("values"))
     right = rows.select("doc_id", F.array("lang", "source").alias("results"))
     return blocks.zipped(left, right, "doc_id", "values", "results")
 
@@ -275,9 +275,8 @@ RUNS = """runs AS (SELECT event_type AS arm, row_number() OVER (PARTITION BY eve
 
 
 def runs(spark, d):
-    e = table(spark, d, "events")
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    return e.select(F.col("event_type").alias("arm"), place.cast("long").alias("idx"), F.abs(F.bround(F.col("value") * 100, 0).cast("long")).cast("double").alias("wall"))
+    e = metrics.numbered(table(spark, d, "events"), key="event_type", index="event_id")
+    return e.select(F.col("event_type").alias("arm"), "idx", F.abs(F.bround(F.col("value") * 100, 0).cast("long")).cast("double").alias("wall"))
 
 
 @query(f"WITH {RUNS}, s AS (SELECT arm, idx, sum(wall) OVER (PARTITION BY arm ORDER BY idx) AS t FROM runs) SELECT min(a.idx) FILTER (a.t < b.t) AS crossover FROM s a JOIN s b USING (idx) WHERE a.arm = 'click' AND b.arm = 'view'")
@@ -361,14 +360,20 @@ def OP67_spread(spark, d):
     return metrics.spread_summary(e, "v", "user_id")
 
 
+LEVELS = ("median(server_s)", "median_s"), ("quantile_cont(server_s, 0.95)", "p95_s"), ("quantile_cont(server_s, 0.99)", "p99_s"), ("median(client_s)", "client_median_s"), ("median(greatest(client_s - server_s, 0))", "queue_wait_s")
+
+
 @query(
-    """WITH c AS (SELECT CAST(l_linenumber AS BIGINT) AS level, l_returnflag <> 'R' AS ok, l_quantity AS client_s, l_quantity - l_tax * 100 AS server_s FROM lineitem)
-    SELECT level, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed, median(client_s) FILTER (ok) AS median_s, quantile_cont(client_s, 0.95) FILTER (ok) AS p95_s, quantile_cont(client_s, 0.99) FILTER (ok) AS p99_s,
-    median(greatest(client_s - server_s, 0)) FILTER (ok) AS queue_wait_s, 120.0::DOUBLE AS wall_s, count(*) FILTER (ok) / 120.0::DOUBLE * 60 AS per_minute FROM c GROUP BY level"""
+    """WITH c AS (SELECT CAST(l_linenumber AS BIGINT) AS level, l_returnflag <> 'R' AND l_linenumber < 7 AS ok, l_quantity * 64 AS client_s, l_quantity * 64 - CAST(l_tax * 100 AS BIGINT) AS server_s FROM lineitem)
+    SELECT level, count(*) AS n_clients, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed, """
+    + ", ".join(f"coalesce(round_even({e} FILTER (ok), 3), 0.0::DOUBLE) AS {n}" for e, n in LEVELS)
+    + """, 120.0::DOUBLE AS wall_s, round_even(count(*) FILTER (ok) / 120.0::DOUBLE * 60, 3) AS per_minute, CASE WHEN count(*) FILTER (ok) = 0 THEN 'error' ELSE 'ok' END AS status,
+    CASE WHEN count(*) FILTER (ok) = 0 THEN 'all clients failed' ELSE '' END AS error FROM c GROUP BY level"""
 )
 def OP68_levels(spark, d):
     rows = table(spark, d, "lineitem")
-    calls = rows.select(F.col("l_linenumber").cast("long").alias("level"), (F.col("l_returnflag") != "R").alias("ok"), F.col("l_quantity").alias("client_s"), (F.col("l_quantity") - F.col("l_tax") * 100).alias("server_s"), F.lit(120.0).alias("wall_s"))
+    client, server = F.col("l_quantity") * 64, F.col("l_quantity") * 64 - F.bround(F.col("l_tax") * 100, 0).cast("long")
+    calls = rows.select(F.col("l_linenumber").cast("long").alias("level"), ((F.col("l_returnflag") != "R") & (F.col("l_linenumber") < 7)).alias("ok"), client.alias("client_s"), server.alias("server_s"), F.lit(120.0).alias("wall_s"))
     return metrics.level_summary(calls)
 
 
@@ -389,9 +394,10 @@ def OP40_OP70_ok_rows(spark, d):
     return good.groupBy("o_custkey").agg(F.min(v).alias("min"), F.median(v).alias("median"), F.max(v).alias("max"), F.count(F.lit(1)).alias("n")).where("n >= 3").drop("n")
 
 
-@query("SELECT p_size AS size, p_partkey, p_retailprice / p_size * 1000 AS ms_each FROM part")
+@query("SELECT p_size AS size, median(p_retailprice / p_size * 1000) AS ms_each, count(*) FILTER (p_name LIKE '%a%') AS parsed, count(*) AS runs FROM part GROUP BY p_size")
 def OP71_cost_each(spark, d):
-    return table(spark, d, "part").select(F.col("p_size").alias("size"), "p_partkey", (F.col("p_retailprice") / F.col("p_size") * 1000).alias("ms_each"))
+    rows = table(spark, d, "part").select(F.col("p_size").alias("size"), F.col("p_retailprice").alias("wall_s"), "p_name")
+    return metrics.cost_each(rows, parsed=F.col("p_name").contains("a"))
 
 
 HTML = """tags AS (SELECT page_id, lower(regexp_extract(t, '<([A-Za-z][A-Za-z0-9]*)', 1)) AS label, page_id * 1000000 + i AS ord FROM (SELECT page_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<[A-Za-z][A-Za-z0-9]*') AS x FROM pages)))"""
@@ -407,16 +413,16 @@ def OP72_OP82_top_labels(spark, d):
     return quality.top_labels(tags(spark, d))
 
 
-@query("SELECT arm, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS indexes FROM (SELECT c_mktsegment AS arm, c_custkey AS idx FROM customer WHERE c_custkey % 10 = 0) GROUP BY arm")
-def OP73_by_arm(spark, d):
-    rows = table(spark, d, "customer").where("c_custkey % 10 = 0").groupBy(F.col("c_mktsegment").alias("arm")).agg(F.array_sort(F.collect_list("c_custkey")).alias("all"))
-    return rows.select("arm", F.array_join(F.transform("all", lambda x: x.cast("string")), ",").alias("indexes"))
-
-
 @query("SELECT c_mktsegment AS arm, c_custkey // 1000 AS block, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS indexes FROM customer GROUP BY ALL")
 def OP73_arm_blocks(spark, d):
-    rows = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("arm"), F.expr("c_custkey div 1000").alias("block")).agg(F.array_sort(F.collect_list("c_custkey")).alias("all"))
-    return rows.select("arm", "block", F.array_join(F.transform("all", lambda x: x.cast("string")), ",").alias("indexes"))
+    rows = metrics.by_arm(table(spark, d, "customer"), arm="c_mktsegment", index="c_custkey", block=1000)
+    return rows.select("arm", "block", F.array_join(F.transform("indexes", lambda x: x.cast("string")), ",").alias("indexes"))
+
+
+@query("SELECT arm, row_number() OVER (ORDER BY arm) - 1 AS place FROM (SELECT DISTINCT c_mktsegment AS arm FROM customer)")
+def OP147_arms(spark, d):
+    found = metrics.arms(table(spark, d, "customer"), "c_mktsegment")
+    return found.select(F.col("c_mktsegment").alias("arm"), F.col("place").cast("long").alias("place"))
 
 
 # -- order, batches ------------------------------------------------------------------------------
@@ -433,15 +439,15 @@ def OP76_block_idx(spark, d):
 
 
 CELLS = """t AS (SELECT vec_id AS block_idx, embedding AS e FROM embeddings), c AS (
-  SELECT block_idx, k AS position, CAST(k // 2 AS INT) AS row_start, CAST(k % 2 AS INT) AS col_start, [CAST(abs(e[k * 8 + j]) * 100 AS DOUBLE) FOR j IN range(1, 9)] AS p FROM t, range(4) r(k)),
+  SELECT block_idx, k AS position, CAST(k // 2 AS INT) AS row_start, CAST(k % 2 AS INT) AS col_start, [CAST(abs(e[k * 8 + j]) * 100 AS DOUBLE) FOR j IN range(1, 9)] AS p FROM t, range(8) r(k)),
 q AS (SELECT block_idx, position, row_start, col_start, least(p[1], p[3], p[5], p[7]) AS ax, least(p[2], p[4], p[6], p[8]) AS ay, greatest(p[1], p[3], p[5], p[7]) AS bx, greatest(p[2], p[4], p[6], p[8]) AS by_ FROM c)"""
 
 
 def cells(spark, d):
-    """Tables of 2 x 2 cells whose corners come from the vectors."""
+    """Tables of 4 x 2 cells whose corners come from the vectors."""
     e = F.col("embedding")
-    polygons = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.transform(F.slice(e, k * 8 + 1, 8), lambda x: (F.abs(x) * F.lit(100).cast("float")).cast("double")))
-    logic = F.array(*[F.array(*map(F.lit, (r, r, c, c))) for r in (0, 1) for c in (0, 1)])
+    polygons = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform(F.slice(e, k * 8 + 1, 8), lambda x: (F.abs(x) * F.lit(100).cast("float")).cast("double")))
+    logic = F.array(*[F.array(*map(F.lit, (r, r, c, c))) for r in range(4) for c in (0, 1)])
     rows = table(spark, d, "embeddings").select(F.lit(0).alias("doc_id"), F.lit(0).alias("page_idx"), F.col("vec_id").alias("block_idx"), polygons.alias("polygons"), logic.alias("logic"), G.bbox(5, 7, 25, 17).alias("bbox"), F.lit(1240).alias("width_px"), F.lit(1754).alias("height_px"))
     return stages.table_cells(rows)
 
@@ -509,6 +515,21 @@ def OP41_OP95_sweep_grid(spark, d):
     return metrics.sweep_grid(table(spark, d, "nation").where(F.col("n_name").contains("A")).select("n_name"), values)
 
 
+@query(
+    """WITH p AS (SELECT * FROM (VALUES ('default', 2500, 15000), ('wider_small', 5000, 15000), ('wider_medium', 2500, 30000), ('tighter', 1500, 8000), ('scaled_2x', 5000, 30000)) v(value, small, medium))
+    SELECT p_partkey, value, small, medium, CASE WHEN p_retailprice * 10 < small THEN 'small' WHEN p_retailprice * 10 < medium THEN 'medium' ELSE 'large' END AS bucket FROM part, p"""
+)
+def OP95_presets(spark, d):
+    """Each part's bucket under every preset of the bucket knobs."""
+    names = list(metrics.BUCKET_PRESETS)
+    knobs = [metrics.preset("formula_bucket_thresholds", n) for n in names]
+    bounds = [F.array(*[F.lit(k[f"formula_bucket_{size}_threshold"]) for k in knobs]) for size in ("small", "medium")]
+    values = spark.range(len(names)).select(*[F.element_at(c, (F.col("id") + 1).cast("int")).alias(n) for n, c in zip(("value", "small", "medium"), (F.array(*map(F.lit, names)), *bounds), strict=True)])
+    grid = metrics.sweep_grid(table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 10).alias("bbox_area")), values)
+    bucket = F.when(F.col("bbox_area") < F.col("small"), "small").when(F.col("bbox_area") < F.col("medium"), "medium").otherwise("large")
+    return grid.select("p_partkey", "value", "small", "medium", bucket.alias("bucket"))
+
+
 # -- geometry, strings ---------------------------------------------------------------------------
 
 
@@ -535,10 +556,12 @@ def OP100_clamped(spark, d):
     return detections(spark, d).select("doc_id", "page_idx", "det_idx", b.alias("b")).select("doc_id", "page_idx", "det_idx", "b.*")
 
 
-@query("SELECT vec_id, CAST(round_even(CAST(embedding[1] AS DOUBLE) * 64, 0) AS BIGINT) AS x1, CAST(round_even(CAST(embedding[2] AS DOUBLE) * 64, 0) AS BIGINT) AS y1 FROM embeddings")
-def OP102_half_even(spark, d):
-    at = lambda i: F.bround(F.get("embedding", i).cast("double") * 64, 0).cast("long")
-    return table(spark, d, "embeddings").select("vec_id", at(0).alias("x1"), at(1).alias("y1"))
+@query(f"WITH {DETECTIONS} SELECT doc_id, page_idx, det_idx, " + ", ".join(f"round_even({c} / 64, 2) AS {c}" for c in BOX) + " FROM det")
+def OP102_rounded(spark, d):
+    """Parts of 64 are doubles without error, so ties are ties in both engines."""
+    b = F.col("bbox")
+    box = G.rounded(G.bbox(*[b[c] / 64 for c in BOX]))
+    return detections(spark, d).select("doc_id", "page_idx", "det_idx", box.alias("b")).select("doc_id", "page_idx", "det_idx", "b.*")
 
 
 @query("SELECT doc_id, nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), '') AS text FROM documents")
@@ -567,10 +590,17 @@ def OP149_labels(spark, d):
     return table(spark, d, "pages").select("page_id", X.shown_label(F.concat("url", F.lit(".pdf"))).alias("label"))
 
 
-@query("SELECT n_nationkey, lower(trim(raw)) IN ('1', 'true', 'yes', 'on') AS flag, array_to_string([trim(x) FOR x IN string_split(list, ',') IF trim(x) <> ''], '|') AS parts FROM (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN ' Yes ' WHEN 1 THEN '0' WHEN 2 THEN 'ON' ELSE 'no' END AS raw, n_name || ', ,b ,' AS list FROM nation)")
+@query(
+    """SELECT n_nationkey, lower(raw) IN ('1', 'true', 'yes', 'on') AS flag, array_to_string([trim(x) FOR x IN string_split(list, ',') IF trim(x) <> ''], '|') AS parts,
+    array_to_string(list_sort(list_distinct([lower(trim(x)) FOR x IN string_split(types, ',') IF trim(x) <> ''])), '|') AS types
+    FROM (SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN ' Yes ' WHEN 1 THEN '0' WHEN 2 THEN 'ON' WHEN 3 THEN 'TRUE' ELSE 'no' END AS raw, n_name || ', ,b ,' AS list,
+      CASE WHEN n_nationkey % 2 = 0 THEN 'TEXT, Table ,,text' ELSE ' , ' END AS types FROM nation)"""
+)
 def OP119_parsing(spark, d):
-    raw = F.element_at(F.array(*map(F.lit, (" Yes ", "0", "ON", "no"))), F.col("n_nationkey") % 4 + 1)
-    return table(spark, d, "nation").select("n_nationkey", X.parsed_bool(raw).alias("flag"), F.array_join(X.parsed_list(F.concat("n_name", F.lit(", ,b ,"))), "|").alias("parts"))
+    raw = F.element_at(F.array(*map(F.lit, (" Yes ", "0", "ON", "TRUE", "no"))), F.col("n_nationkey") % 5 + 1)
+    types = X.parsed_block_types(F.when(F.col("n_nationkey") % 2 == 0, "TEXT, Table ,,text").otherwise(" , "))
+    parts = X.parsed_list(F.concat("n_name", F.lit(", ,b ,")))
+    return table(spark, d, "nation").select("n_nationkey", X.parsed_bool(raw).alias("flag"), F.array_join(parts, "|").alias("parts"), F.array_join(F.array_sort(types), "|").alias("types"))
 
 
 # -- nesting -------------------------------------------------------------------------------------
@@ -600,7 +630,36 @@ def OP126_ordered_nesting(spark, d):
     return rows.select("conv_id", F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("roles"), "chars")
 
 
-@query()
+def _json_lines(fields: list[tuple[str, str]], pad: int) -> str:
+    """SQL for the lines of a JSON object's fields."""
+    return " || ',' || chr(10) || ".join(f"'{' ' * pad}\"{n}\": ' || {e}" for n, e in fields)
+
+
+_NUMBER = "CAST(CAST(printf('%.2f', {}) AS DOUBLE) AS VARCHAR)"  # rounds what the double is, not what it looks like
+_JSON_BLOCK = _json_lines(
+    [
+        ("reading_order", "reading_order"),
+        ("label", "'\"' || label || '\"'"),
+        ("type", "'\"' || type || '\"'"),
+        ("bbox", "'[' || chr(10) || " + " || ',' || chr(10) || ".join(f"'{' ' * 12}' || {_NUMBER.format(c)}" for c in BOX) + f" || chr(10) || '{' ' * 10}]'"),
+        ("confidence", "CAST(confidence AS VARCHAR)"),
+        ("text", "coalesce('\"' || block_text || '\"', 'null')"),
+        ("image_path", "coalesce('\"' || image_path || '\"', 'null')"),
+        ("miss", "CAST(miss AS VARCHAR)"),
+        *[(n, "'null'") for n in ("n_rows", "n_cols", "cells", "reference")],
+    ],
+    10,
+)
+_JSON_PAGE = _json_lines([("page_no", "(page_idx + 1)"), ("width_px", "1240"), ("height_px", "1754"), ("blocks", f"CASE WHEN blocks IS NULL THEN '[]' ELSE '[' || chr(10) || blocks || chr(10) || '{' ' * 6}]' END")], 6)
+_JSON_DOCUMENT = _json_lines([("metadata", "'null'"), ("language", "'\"en\"'"), ("digital_born", "'true'"), ("pipeline_version", "'\"1\"'"), ("pages", "'[' || chr(10) || pages || chr(10) || '  ]'")], 2)
+
+
+@query(
+    f"""WITH {RANKED}, b AS (SELECT doc_id, page_idx, string_agg('{' ' * 8}{{' || chr(10) || {_JSON_BLOCK} || chr(10) || '{' ' * 8}}}', ',' || chr(10) ORDER BY block_idx) AS blocks FROM blocks GROUP BY ALL),
+    p AS (SELECT o_orderkey // 8 AS doc_id, CAST(o_orderkey % 8 AS INT) AS page_idx, blocks FROM orders LEFT JOIN b ON doc_id = o_orderkey // 8 AND page_idx = o_orderkey % 8),
+    d AS (SELECT doc_id, string_agg('{' ' * 4}{{' || chr(10) || {_JSON_PAGE} || chr(10) || '{' ' * 4}}}', ',' || chr(10) ORDER BY page_idx) AS pages FROM p GROUP BY doc_id)
+    SELECT doc_id, '{{' || chr(10) || {_JSON_DOCUMENT} || chr(10) || '}}' AS json FROM d"""
+)
 def OP16_json(spark, d):
     return nested_documents(spark, d).select("doc_id", assemble.json_text(F.col("document")).alias("json"))
 
@@ -662,7 +721,7 @@ def EXTRA_windowed_stats(spark, d):
     return landing.windowed_stats(table(spark, d, "events")).drop("mean")
 
 
-@query()
+@query("SELECT item_id // 8 AS doc_id, CAST(item_id % 8 AS INT) AS block_idx, CASE WHEN trim(text) <> '' THEN string_split(text, chr(10))[1] END AS title FROM benchmark")
 def OP134_reference_stage(spark, d):
     from docloom.models import FakeCitations
     from docloom.operators.citations import references
@@ -694,11 +753,11 @@ def OP108_OP109_metadata_values(spark, d):
     return table(spark, d, "nation").select("n_nationkey", info.alias("i")).select("n_nationkey", F.col("i")["title"].alias("title"), F.size("i").alias("entries"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice < 100000 THEN '--' ELSE printf('%.2f', 1.5) END AS shown FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_totalprice < 64000 THEN '--' ELSE printf('%.2f', CAST(o_totalprice AS BIGINT) / 64.0::DOUBLE) END AS shown FROM orders")
 def OP123_shown(spark, d):
     from docloom.sources.reports import shown
 
-    return table(spark, d, "orders").select("o_orderkey", shown(F.when(F.col("o_totalprice") < 100000, 0.004).otherwise(1.5)).alias("shown"))
+    return table(spark, d, "orders").select("o_orderkey", shown(F.when(F.col("o_totalprice") < 64000, 0.004).otherwise(F.bround("o_totalprice", 0).cast("long") / 64)).alias("shown"))
 
 
 @query("SELECT o_orderkey, o_totalprice * 0.01::DOUBLE AS o_totalprice FROM orders")
@@ -717,7 +776,10 @@ def OP153_missing_files(spark, d):
     return good.select("page_id", F.lit(True).alias("found"), F.lit("").alias("reason")).unionByName(bad.select("page_id", F.lit(False).alias("found"), "reason"))
 
 
-@query()
+@query(
+    f"""WITH {RANKED}, f AS (SELECT *, CASE WHEN block_idx > 0 THEN 'x_{{' || (CAST('0x' || substr(sha256(image_path), 1, 16) AS UBIGINT) % 1000) || '}}' END AS latex FROM blocks WHERE type = 'formula')
+    SELECT doc_id, page_idx, block_idx, latex AS text, latex IS NULL AS miss, CASE WHEN latex IS NULL THEN regexp_replace(image_path, '-([^-]*)$', '-MISS-\\1') END AS image_path FROM f"""
+)
 def OP89_OP135_formula_stage(spark, d):
     """Formula targets in batches through the stand-in model, spliced back into their blocks."""
     from docloom.models import FakeFormula, recognize_formulas

@@ -21,8 +21,8 @@ def write_csv(results: DataFrame, path: str) -> None:
 
 
 def shown(value: Column) -> Column:
-    """Two decimals; a zero as '--'."""
-    text = F.format_string("%.2f", value)
+    """Two decimals, half to even; a zero as '--'."""
+    text = F.format_string("%.2f", F.bround(value, 2))
     return F.when(text == "0.00", "--").otherwise(text)
 
 
