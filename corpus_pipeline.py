@@ -6,12 +6,10 @@ All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import in_fold, shared_dir
+from docloom.llm.common import discard, in_fold, stored
 from docloom.llm.decontamination import find_leaks, read_items
 from docloom.llm.language_id import UNDETERMINED, fit, identify
 from docloom.llm.near_dedup import without_near_duplicates
@@ -63,12 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again in the shared folder."""
+    """All stages over ``documents``, each written and read again in the shared folder and deleted after the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/docloom/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs.write.parquet(path := f"{base}/{i}-{name}")
-            docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        kept = stored(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
