@@ -1,4 +1,4 @@
-"""Documents as one lazy plan: detections, blocks, stages, assembly."""
+"""Documents as one plan: detections, blocks, stages, assembly; what models and services say is stored once."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from docloom.config import PipelineSettings
 from docloom.functions.geometry import holds_centre, pdf_region
 from docloom.functions.text import joined_spans
 from docloom.operators import assemble, blocks, citations, routing, stages
+from docloom.storage import stored
 
 
 @dataclass
@@ -56,7 +57,8 @@ def extract(
     ``detections``: doc_id, page_idx, det_idx, label, confidence, bbox, text and optionally order_seq.
     ``formulas`` gets batched targets and gives ``latex`` by block; ``tables`` gets targets and gives
     ``polygons, logic`` by block.  With ``spans`` (and ``dpi, height_pt`` of pages) cells get the text that lies in
-    them.  Stages that are off add nothing to the plan.
+    them.  Stages that are off add nothing to the plan.  A model's or service's answers are written to the shared
+    folder before they are spliced in, so each target is asked about once, whatever is read from the result.
     """
     settings = settings or PipelineSettings()
     accepted, rejected = routing.split_scanned(documents, settings.scanned_enabled)
@@ -71,12 +73,13 @@ def extract(
 
     if settings.table_enabled and tables is not None:
         targets = blocks.table_targets(built, settings.table_min_side_px).where("large_enough")
-        sized = tables(targets).join(pages.select("doc_id", "page_idx", "width_px", "height_px"), ["doc_id", "page_idx"])
+        found = stored(tables(targets), "tables")
+        sized = found.join(pages.select("doc_id", "page_idx", "width_px", "height_px"), ["doc_id", "page_idx"])
         cells = stages.table_cells(sized)
         bounds = ["row_start", "row_end", "col_start", "col_end"]
         cells = cells.select(*key, "cell_idx", *bounds, F.col("cell_bbox").alias("bbox"))
         cells = text_in_boxes(cells, spans, pages, ("block_idx", "cell_idx")) if spans is not None else cells.withColumn("text", F.lit(None).cast("string"))
-        lists = assemble.nest_cells(targets.select(*key), cells).withColumn("cells", stages.structured(F.col("cells"))).where("cells IS NOT NULL")
+        lists = assemble.nest_cells(found.select(*key), cells).withColumn("cells", stages.structured(F.col("cells"))).where("cells IS NOT NULL")
         shape = stages.table_shape(F.col("cells"))
         built = blocks.spliced(built, lists.withColumns({"n_rows": shape["n_rows"], "n_cols": shape["n_cols"]}), ["cells", "n_rows", "n_cols"])
 
@@ -86,11 +89,11 @@ def extract(
         )
         buckets = buckets if settings.formula_bucketed else buckets[-1:]
         targets = stages.batched(stages.bucketed(blocks.formula_targets(built), buckets), settings.formula_batch_size)
-        done = stages.finished_formulas(targets.drop("latex").join(formulas(targets).select(*key, "latex"), key, "left"), tuple(settings.bundle_miss_images_for))
+        done = stages.finished_formulas(targets.drop("latex").join(stored(formulas(targets).select(*key, "latex"), "formulas"), key, "left"), tuple(settings.bundle_miss_images_for))
         built = blocks.spliced(built, done, ["text", "miss", "image_path"])
 
     if settings.references_enabled and make_citation_client is not None:
-        found = citations.references(blocks.reference_targets(built, settings.reference_labels), make_citation_client)
+        found = stored(citations.references(blocks.reference_targets(built, settings.reference_labels), make_citation_client), "references")
         built = blocks.spliced(built, found, ["reference"])
 
     page_rows = assemble.nest_pages(pages.join(ids, "doc_id", "left_semi"), built)

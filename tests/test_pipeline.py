@@ -145,3 +145,63 @@ def test_a_report_tells_what_it_leaves_out(spark):
     text = markdown(spark.createDataFrame(rows[::-1], "benchmark string, ord int, value string, wall_s double, status string"), most=5)
     assert [x[2:6] for x in text.splitlines() if x.startswith("| s0")] == [f"s{i:03d}" for i in range(5)]
     assert "Left out: 55 more sweeps" in text and text.endswith("s004 (1) and 2 more")
+
+
+def test_each_target_is_asked_about_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(targets):
+        def run(batches):
+            for rows in batches:
+                asked.add(len(rows))
+                yield rows.assign(latex="x")
+
+        kept = targets.select("doc_id", "page_idx", "block_idx")
+        return kept.mapInPandas(run, "doc_id long, page_idx int, block_idx int, latex string")
+
+    settings = PipelineSettings(scanned_enabled=False, table_enabled=True, references_enabled=True)
+    got = extract(*inputs(spark), settings, formulas=counted, tables=tables, make_citation_client=FakeCitations)
+    assert got.blocks.where("type = 'formula' AND text = 'x'").count() == 1
+    assert got.summary.count() == 1 == got.documents.count()
+    assert asked.value == 1
+
+
+def test_flags_types_and_logging(monkeypatch):
+    import logging
+
+    from docloom.config import LoggingSettings, as_block_types
+
+    got = PipelineSettings.from_env({"DOCLOOM_TABLE_ENABLED": " yes", "DOCLOOM_LAYOUT_FP16": "YES", "DOCLOOM_BUNDLE_MISS_IMAGES_FOR": "TEXT, Table"})
+    assert not got.table_enabled and got.layout_fp16 and got.bundle_miss_images_for == {"text", "table"} == as_block_types("Text,tAble,")
+    root = logging.getLogger()
+    monkeypatch.setattr(root, "handlers", list(root.handlers))
+    level = root.level
+    try:
+        LoggingSettings(level="ERROR").apply()
+        assert (root.level, logging.getLogger("docloom").level, logging.getLogger("pdf_oxide").level) == (logging.ERROR, logging.ERROR, logging.WARNING)
+    finally:
+        root.setLevel(level)
+
+
+def test_json_is_as_python_writes_it(spark):
+    box = {"x1": 1.005, "y1": 1e16, "x2": 0.00001, "y2": 2.0}
+    block = {"reading_order": 0, "label": 'a "b" \\ é\n\x0b\u2028', "type": "text", "bbox": box, "confidence": 1e-05, "text": None, "image_path": "", "miss": False, "n_rows": None, "n_cols": None, "cells": [], "reference": None}
+    value = {"metadata": {"filename": "日本", "sha256": None, "byte_size": 3, "pdf_info": {"k": "v"}}, "language": "en", "digital_born": True, "pipeline_version": "1", "pages": [{"page_no": 1, "width_px": 2, "height_px": 3, "blocks": [block]}, {"page_no": 2, "width_px": 2, "height_px": 3, "blocks": []}]}
+    from docloom.schema import DOCUMENT
+
+    rows = spark.createDataFrame([(value,), (None,)], f"document {DOCUMENT.simpleString()}")
+    got = [r.j for r in rows.select(json_text(F.col("document")).alias("j")).collect()]
+    block["bbox"] = [round(box[c], 2) for c in ("x1", "y1", "x2", "y2")]
+    assert got == [json.dumps(value, indent=2, ensure_ascii=False), None]
+
+
+def test_running_sums_by_ranges(spark):
+    from docloom.operators.metrics import cumulative, level_summary, numbered
+
+    rows = spark.createDataFrame([(a, i * 3, float(i)) for a in "ab" for i in range(50)], "arm string, event long, wall double")
+    placed = numbered(rows, key="arm", index="event", span=7)
+    got = {(r.arm, r.idx): r.total for r in cumulative(placed, span=4).collect()}
+    assert got == {(a, i + 1): float(sum(range(i + 1))) for a in "ab" for i in range(50)}
+    calls = spark.createDataFrame([(1, False, 1.0, 1.0, 0.0)], "level long, ok boolean, client_s double, server_s double, wall_s double")
+    row = level_summary(calls).first()
+    assert (row.median_s, row.client_median_s, row.per_minute, row.status, row.error) == (0.0, 0.0, 0.0, "error", "all clients failed")
