@@ -2,73 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from pathlib import Path
-from weakref import WeakKeyDictionary
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.storage import discard, shared_dir, stored
 from docloom.workers import on_workers as importable
 
+__all__ = ["discard", "shared_dir", "stored"]
+
 #: The six ASCII characters that separate words.
 ASCII_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 _SPACE_TO_BLANK = str.maketrans({c: " " for c in ASCII_SPACE[1:]})
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a session with a local master gets a temporary folder; on a cluster, whose executors
-    wouldn't see it, that is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = Path(tempfile.mkdtemp(prefix="docloom-checkpoints-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone at exit
-        pass
-
-
-#: Where the tables of :func:`stored` lie.
-_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
-
-    The lineage ends there: a lost executor costs a re-read, not a recomputation.  The table goes with
-    :func:`discard`, at the latest when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PLACES[out] = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Deletes tables of :func:`stored` whose last reader has been written; others are left alone."""
-    for df in tables:
-        if df is not None and (path := _PLACES.pop(df, None)):
-            _delete(df.sparkSession, path)
-
-
 #: Most bytes of an Arrow batch, unless the session has a smaller bound: a worker holds a few batches at a time.
 BATCH_BYTES = 8 << 20
 
