@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,23 +87,42 @@ def recognize_formulas(targets: DataFrame, factory: Callable[[], FormulaModel])
     A missing picture is a miss for its row; a model that raises, for its batch; the others go on.
     """
     on_workers(targets.sparkSession)
+    group = ["doc_id", "bucket_no", "batch_no"]
     kept = [f for f in targets.schema if f.name != "image"]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        readable = rows["image"].notna()
-        out = rows.drop(columns="image").assign(latex=None, n_tokens=0)
-        if readable.any():
-            try:
-                found = resident(factory).recognize(list(rows.loc[readable, "image"]), int(rows["max_tokens"].max()))
-                out.loc[readable, "latex"] = pd.Series([x[0] for x in found], index=out.index[readable], dtype=object)
-                out.loc[readable, "n_tokens"] = [x[1] for x in found]
-            except Exception:
-                out["latex"] = None
-        return out
+    names, made = [f.name for f in kept], []
+
+    def answers(images: list[bytes | None], max_tokens: int) -> list[tuple[str | None, int]]:
+        readable = [x for x in images if x is not None]
+        try:
+            if readable and not made:
+                made.append(resident(factory))
+            found = iter(made[0].recognize(readable, max_tokens) if readable else [])
+            return [next(found) if x is not None else (None, 0) for x in images]
+        except Exception:  # the model's, or too few answers
+            return [(None, 0)] * len(images)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of a group that may go on
+        for batch in chain(batches, [None]):
+            rows = pa.Table.from_batches(held + ([batch] if batch is not None else [])) if held or batch is not None else None
+            if rows is None or not rows.num_rows:
+                continue
+            keys = list(zip(*(rows.column(c).to_pylist() for c in group), strict=True))
+            starts = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
+            last = rows.num_rows if batch is None else starts[-1]
+            images, caps = rows.column("image"), rows.column("max_tokens").to_pylist()
+            out: list[tuple[str | None, int]] = []
+            for first, end in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+                if first < last:
+                    out += answers([x.as_py() for x in images[first:end]], max(caps[first:end]))
+            done, held = rows.slice(0, last), rows.slice(last).to_batches()
+            columns = [done.column(c).combine_chunks() for c in names]
+            columns += [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())]
+            yield from pa.Table.from_arrays(columns, names=[*names, "latex", "n_tokens"]).to_batches()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", latex string, n_tokens bigint"
-    return targets.groupBy("doc_id", "bucket_no", "batch_no").applyInPandas(run, schema)
+    # a document's batches lie side by side in one task, and a group that an Arrow batch cuts goes on in the next
+    return targets.repartition("doc_id").sortWithinPartitions(*group, "place").mapInArrow(run, schema)
 
 
 def recognize_text(crops: DataFrame, factory: Callable[[], OcrModel], *, batch_size: int = 64) -> DataFrame:

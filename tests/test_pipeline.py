@@ -205,3 +205,31 @@ def test_running_sums_by_ranges(spark):
     calls = spark.createDataFrame([(1, False, 1.0, 1.0, 0.0)], "level long, ok boolean, client_s double, server_s double, wall_s double")
     row = level_summary(calls).first()
     assert (row.median_s, row.client_median_s, row.per_minute, row.status, row.error) == (0.0, 0.0, 0.0, "error", "all clients failed")
+
+
+def test_formula_batches_across_arrow_batches(spark):
+    class Strict:
+        """Raises for a batch with a crop 'bad'; says how many crops and which cap it was given."""
+
+        def recognize(self, crops, max_tokens):
+            if any(bytes(c) == b"bad" for c in crops):
+                raise RuntimeError
+            return [(f"{bytes(c).decode()}/{len(crops)}/{max_tokens}", 1) for c in crops]
+
+    rows = [(d, b, p // 3, p, 10 * (p + 1), bytearray(b"bad" if (d, b, p) == (1, 0, 4) else f"{p}".encode()) if p % 5 else None) for d in (1, 2) for b in (0, 1) for p in range(8)]
+    targets = spark.createDataFrame(rows, "doc_id long, bucket_no int, batch_no int, place int, max_tokens int, image binary")
+    wanted = {}
+    for d, b, n, p, _, image in rows:
+        batch = [r for r in rows if r[:3] == (d, b, n)]
+        readable = [r for r in batch if r[5] is not None]
+        broken = any(r[5] == b"bad" for r in readable)
+        wanted[d, b, p] = None if image is None or broken else f"{p}/{len(readable)}/{max(r[4] for r in batch)}"
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (2, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = recognize_formulas(targets, Strict).collect()
+            assert {(r.doc_id, r.bucket_no, r.place): r.latex for r in got} == wanted and len(got) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert recognize_formulas(targets.limit(0), Strict).collect() == []
