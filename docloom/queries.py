@@ -791,7 +791,15 @@ def OP89_OP135_formula_stage(spark, d):
     return blocks.spliced(rows, done, ["text", "miss", "image_path"]).where("type = 'formula'").select("doc_id", "page_idx", "block_idx", "text", "miss", "image_path")
 
 
-@query()
+TABLE_CELLS = RANKED.replace("FROM det)", "FROM det WHERE confidence > 0.2)") + """, t AS (SELECT *, x2 - x1 AS w, y2 - y1 AS h FROM blocks WHERE type = 'table' AND least(x2 - x1, y2 - y1) >= 60),
+  c AS (SELECT doc_id, page_idx, block_idx, CAST(r * 2 + k AS INT) AS cell_idx, CAST(r AS INT) AS row_start, CAST(k AS INT) AS col_start,
+    least(1240, least(k * 40 + 10, w) + x1) AS ax, least(1754, least(r * 40 + 10, h) + y1) AS ay, least(1240, least(k * 40 + 50, w) + x1) AS bx, least(1754, least(r * 40 + 50, h) + y1) AS by_ FROM t, range(2) a(r), range(2) b(k))"""
+
+
+@query(
+    f"""WITH {TABLE_CELLS} SELECT c.doc_id, c.page_idx, block_idx, cell_idx, row_start, col_start, string_agg(det.label, ' ' ORDER BY det_idx) AS text
+    FROM c LEFT JOIN det ON det.doc_id = c.doc_id AND det.page_idx = c.page_idx AND det.x1 + 5 BETWEEN ax AND bx AND det.y1 + 5 BETWEEN ay AND by_ GROUP BY ALL"""
+)
 def OP136_table_stage(spark, d):
     """The whole plan with the table stage on: the stand-in grid, and spans as the cells' texts."""
     from docloom.config import PipelineSettings
