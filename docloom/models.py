@@ -7,17 +7,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import chain
 from typing import Protocol, runtime_checkable
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.config import PipelineSettings
+from docloom.functions import pictures
 from docloom.schema import DETECTION
-from docloom.workers import on_workers
+from docloom.workers import ahead, logged, on_workers
 
 
 @runtime_checkable
@@ -58,17 +62,47 @@ def resident(factory: Callable[[], object]) -> object:
     return _made[key]
 
 
-def detect(pages: DataFrame, factory: Callable[[], LayoutModel], *, batch_size: int = 8, confidence: float = 0.5) -> DataFrame:
-    """``doc_id, page_idx, det_idx`` and the detection's fields from pages with ``image``."""
+def layout_factory(settings: PipelineSettings, make: Callable[..., LayoutModel]) -> Callable[[], LayoutModel]:
+    """``make(device=, fp16=, fast_preproc=)`` bound to the settings, for :func:`detect`."""
+    return partial(make, device=settings.layout_device, fp16=settings.layout_fp16, fast_preproc=settings.layout_fast_preproc)
+
+
+def formula_factory(settings: PipelineSettings, make: Callable[..., FormulaModel]) -> Callable[[], FormulaModel]:
+    """``make(model_id=, device=, dtype=, compiled=)`` bound to the settings."""
+    return partial(make, model_id=settings.formula_model_id, device=settings.formula_device, dtype=settings.formula_dtype, compiled=settings.formula_torch_compile)
+
+
+def formula_results(answer: str | list[str], n_tokens: int, n_crops: int) -> list[tuple[str | None, int]]:
+    """What a generator says of a batch, as :class:`FormulaModel` gives it: one text for each crop, a lone text
+    counts as a list of one, an empty text as none.  All rows of a batch stop together, so all have its tokens."""
+    texts = [answer] if isinstance(answer, str) else list(answer)
+    if len(texts) != n_crops:
+        raise ValueError(f"{len(texts)} texts for {n_crops} crops")
+    return [(x or None, n_tokens) for x in texts]
+
+
+def detect(
+    pages: DataFrame, factory: Callable[[], LayoutModel], *, batch_size: int = 8, confidence: float = 0.5, prepare: Callable[[bytes], object] | None = None
+) -> DataFrame:
+    """``doc_id, page_idx, det_idx`` and the detection's fields from pages with ``image``.
+
+    ``prepare`` (such as :func:`prepared`) makes the model's input from a picture; a thread does it for the next
+    batches while the model works on one.
+    """
 
     on_workers(pages.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = resident(factory)
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list]]:
         for rows in batches:
             for at in range(0, len(rows), batch_size):
                 part = rows.iloc[at : at + batch_size]
-                found = model.analyze(list(part["image"]), confidence)
+                yield part, [prepare(x) if prepare else x for x in part["image"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = resident(factory)
+        with logged("layout"):
+            for part, images in ahead(parts(batches)) if prepare else parts(batches):
+                found = model.analyze(images, confidence)
                 if len(found) != len(part):
                     raise ValueError("a layout model gave another number of results than pages")
                 out = [
@@ -164,6 +198,62 @@ def structure_tables(targets: DataFrame, factory: Callable[[], TableModel], *, b
     return targets.withColumn("__t", find("image")).withColumns({"polygons": F.col("__t.polygons"), "logic": F.col("__t.logic")}).drop("__t")
 
 
+def prepared(content: bytes) -> tuple[tuple[int, int], np.ndarray]:
+    """(height, width) of a picture and its :func:`pictures.planes`."""
+    picture = pictures.decode(content)
+    return picture.shape[:2], pictures.planes(picture)
+
+
+#: Most boxes of a page that are cut from one copy of its picture.
+_BOXES = 256
+
+
+def cut_crops(
+    boxes: DataFrame, images: DataFrame, *, by: tuple[str, ...] = ("block_idx",), image_format: str = "png", jpeg_quality: int = 95, read: Callable[[bytes], np.ndarray] = pictures.decode
+) -> DataFrame:
+    """``doc_id, page_idx, *by, image``: each ``bbox`` cut out of its page's picture and encoded.
+
+    ``images`` has ``doc_id, page_idx, image``; ``by`` are whole numbers that tell a page's boxes apart.  A box that is
+    empty or not on the page, and one whose page is missing or unreadable, has a null picture.  Boxes travel to the
+    pictures in lists of at most 256, so that a picture is sent and decoded once for them.
+    """
+    if image_format not in ("jpeg", "png"):
+        raise ValueError(f"unknown image format {image_format!r}")
+    on_workers(boxes.sparkSession)
+    key = ["doc_id", "page_idx"]
+    rows = boxes.select(*key, *by, "bbox")
+    some = [F.col(c).alias(f"__{c}") for c in by[:-1]] + [F.floor(F.col(by[-1]) / _BOXES).alias("__block")]
+    lists = rows.groupBy(*key, *some).agg(F.collect_list(F.struct(*by, "bbox")).alias("boxes")).select(*key, "boxes")
+    fields = [rows.schema[c] for c in (*key, *by)]
+    names = [*key, *by, "image"]
+
+    def crop(picture: np.ndarray | None, box: dict | None) -> bytes | None:
+        corners = [box[c] for c in ("x1", "y1", "x2", "y2")] if box else [None]
+        if picture is None or None in corners:
+            return None
+        try:
+            part = pictures.cut(picture, corners)
+        except ValueError:  # nothing is in the box
+            return None
+        return pictures.encode(part, image_format, jpeg_quality)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list = []
+        for batch in batches:
+            kinds = kinds or [batch.schema.field(c).type for c in key] + [batch.schema.field("boxes").type.value_type.field(c).type for c in by] + [pa.binary()]
+            for i in range(batch.num_rows):
+                doc_id, page_idx, found, image = (batch.column(c)[i].as_py() for c in (*key, "boxes", "image"))
+                try:
+                    picture = read(image)
+                except OSError:
+                    picture = None
+                values = [[doc_id] * len(found), [page_idx] * len(found), *([x[c] for x in found] for c in by), [crop(picture, x["bbox"]) for x in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", image binary"
+    return lists.join(images.select(*key, "image"), key, "left").mapInArrow(run, schema)
+
+
 def converted(images: DataFrame, convert: Callable[[bytes, str], bytes], *, column: str = "image", image_format: str = "png") -> DataFrame:
     """Pictures decoded, cut or encoded by ``convert(content, format)``; formats are jpeg and png."""
     if image_format not in ("jpeg", "png"):
@@ -221,3 +311,26 @@ class FakeCitations:
     def parse(self, citations: list[str]) -> list[dict | None]:
         names = ("year", "venue", "volume", "issue", "pages", "publisher", "doi", "url", "pmid", "arxiv")
         return [{"title": x.split("\n")[0], "authors": [], **dict.fromkeys(names)} if x.strip() else None for x in citations]
+
+
+class FakeTextLayer:
+    """Pages of a plain text, parted by form feeds; each line is a span, from the top down, ten points high."""
+
+    HEIGHT = 800.0
+
+    def open(self, content: bytes) -> list[str]:
+        return bytes(content).decode().split("\f")
+
+    def pages(self, document: list[str]) -> int:
+        return len(document)
+
+    def spans(self, document: list[str], page: int) -> tuple[list[float], list[tuple[str, float, float, float, float]]]:
+        lines = document[page].split("\n")
+        return [0.0, 0.0, 600.0, self.HEIGHT], [(x, 5.0, self.HEIGHT - 12.0 * (i + 1), 5.0 * len(x), 10.0) for i, x in enumerate(lines) if x]
+
+
+def fake_render(content: bytes, dpi: int, image_format: str) -> Iterator[tuple[int, int, bytes]]:
+    """A picture of 120 x 160 for each page of :class:`FakeTextLayer`, shaded by the page's digest and the resolution."""
+    for page in FakeTextLayer().open(content):
+        shades = (np.arange(160 * 120 * 3) * (1 + _digest(page.encode()) % 7) + dpi).astype(np.uint8)
+        yield 120, 160, pictures.encode(shades.reshape(160, 120, 3), image_format)

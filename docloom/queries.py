@@ -6,10 +6,13 @@ The tables hold no PDFs: ``lineitem`` stands in for detections (orders are pages
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import geometry as G
+from docloom.functions import pictures
 from docloom.functions import text as X
 from docloom.operators import assemble, blocks, detect, metrics, quality, routing, stages
 from docloom.sources import logs
@@ -814,3 +817,38 @@ def OP136_table_stage(spark, d):
     settings = PipelineSettings(table_enabled=True, table_min_side_px=60, layout_confidence=0.2)
     run = extract(facts, sized, found, settings, tables=lambda t: structure_tables(t.withColumn("image", F.lit("crop").cast("binary")), FakeTable), spans=spans)
     return assemble.cells_of(run.blocks.where("cells IS NOT NULL")).select("doc_id", "page_idx", "block_idx", "cell_idx", "row_start", "col_start", "text")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 > 0 AND text <> '' THEN 'line ' || (CAST('0x' || substr(sha256(text), 1, 16) AS UBIGINT) % 1000) END AS text FROM documents")
+def OP106_scanned_text(spark, d):
+    """Crops through the stand-in reader and what is accepted of them; every seventh has no picture."""
+    from docloom.models import FakeOcr, recognize_text
+
+    crops = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 > 0, F.encode("text", "UTF-8")).alias("image"))
+    return recognize_text(crops, FakeOcr).select("doc_id", stages.accepted_ocr(F.col("lines"), F.col("scores")).alias("text"))
+
+
+@query(
+    """WITH box AS (SELECT c_custkey, c_nationkey, round_even(c_custkey % 80 - 10.5, 0) AS x1, round_even(c_custkey % 50 - 4.5, 0) AS y1, round_even(c_custkey % 80 + 9.5, 0) AS x2, round_even(c_custkey % 50 + 8.0, 0) AS y2 FROM customer),
+    px AS (SELECT c_custkey, x, y, (3 * x + 5 * y + 7 * ch + c_nationkey) % 256 AS v FROM box, range(60) a(x), range(40) b(y), range(3) c(ch) WHERE x >= x1 AND x < x2 AND y >= y1 AND y < y2)
+    SELECT c_custkey, CAST(count(DISTINCT x) AS INT) AS width, CAST(count(DISTINCT y) AS INT) AS height, CAST(sum(v) AS BIGINT) AS shade FROM px GROUP BY c_custkey"""
+)
+def OP06_OP17_cut_pictures(spark, d):
+    """A page a nation, drawn by rule; a box a customer, cut out, encoded, decoded and summed up."""
+    from docloom.models import converted, cut_crops
+
+    def drawn(content: bytes, image_format: str) -> bytes:
+        y, x, ch = np.mgrid[:40, :60, :3]
+        return pictures.encode(((3 * x + 5 * y + 7 * ch + int(content)) % 256).astype(np.uint8), image_format)
+
+    @F.pandas_udf("width int, height int, shade long")
+    def measured(crops: pd.Series) -> pd.DataFrame:
+        found = [pictures.decode(x) for x in crops]
+        return pd.DataFrame([(p.shape[1], p.shape[0], int(p.sum(dtype=np.int64))) for p in found], columns=["width", "height", "shade"])
+
+    key = F.col("c_custkey")
+    page = table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit(0).alias("page_idx"), F.col("n_nationkey").cast("string").cast("binary").alias("image"))
+    box = G.bbox(key % 80 - 10.5, key % 50 - 4.5, key % 80 + 9.5, key % 50 + 8.0)
+    boxes = table(spark, d, "customer").select(F.col("c_nationkey").alias("doc_id"), F.lit(0).alias("page_idx"), key.alias("block_idx"), box.alias("bbox"))
+    crops = cut_crops(boxes, converted(page, drawn)).where("image IS NOT NULL")
+    return crops.select(F.col("block_idx").alias("c_custkey"), measured("image").alias("m")).select("c_custkey", "m.*")

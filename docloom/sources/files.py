@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import inspect
 import io
 import json
+import logging
 import os
 import tarfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.text import clean_metadata_map
-from docloom.workers import on_workers
+from docloom.workers import logged, on_workers
 
+# Names of the stages and of the quality counts in a sweep's columns.
 _STAGES = ("render", "layout", "blocks", "table", "formula", "reference", "bundle")
 _QUALITY = (
     "blocks_total", "blocks_text", "blocks_image", "blocks_reference", "blocks_formula", "blocks_table", "text_chars", "miss", "formulas_with_text",
@@ -35,7 +40,8 @@ SWEEP_SCHEMA = ", ".join(
 
 
 def scan_documents(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """``path, filename, byte_size, content`` of each file; a missing path is an error of the reader."""
+    """``path, filename, byte_size, content`` of each file; a missing path is an error of the reader, which passes over
+    files of no bytes (:func:`with_missing` tells them)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("byte_size"), "content")
 
@@ -66,18 +72,76 @@ def with_metadata(files: DataFrame, read_info: Callable[[bytes], dict[str, str]]
     return files.withColumn("metadata", metadata)
 
 
-def render_pages(files: DataFrame, render: Callable[[bytes, int], Iterator[tuple[int, int, bytes]]], dpi: int = 300) -> DataFrame:
-    """One row a page: ``path, page_idx, width_px, height_px, image``; ``render`` yields (width, height, bytes)."""
+class TextLayer(Protocol):
+    """A reader of text layers; boxes are in points from the lower left corner."""
 
+    def open(self, content: bytes) -> Any: ...
+
+    def pages(self, document: Any) -> int: ...
+
+    def spans(self, document: Any, page: int) -> tuple[list[float], list[tuple[str, float, float, float, float]]]:
+        """The page's media box [x0, y0, x1, y1] and its spans (text, x, y, w, h) in order."""
+        ...
+
+
+_SPANS = pa.list_(pa.struct([("span_idx", pa.int32()), ("text", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("w", pa.float64()), ("h", pa.float64())]))
+
+
+def read_spans(files: DataFrame, make_reader: Callable[[], TextLayer], key: str = "path") -> DataFrame:
+    """One row a page: ``key, page_idx, media_box, spans``, from files with ``content``.
+
+    A file that can't be opened has no pages; a page that can't be read has null instead of spans, is logged, and
+    the others go on.  Pages follow one another in small batches, whatever a file's length.
+    """
     on_workers(files.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, log = make_reader(), logging.getLogger("docloom")
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                for i, (width, height, image) in enumerate(render(content, dpi)):
-                    yield pd.DataFrame({"path": [path], "page_idx": [i], "width_px": [width], "height_px": [height], "image": [image]})
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                try:
+                    document = reader.open(content.as_py())
+                    n = reader.pages(document)
+                except Exception:
+                    log.warning("%s has no readable text layer", name.as_py(), exc_info=True)
+                    continue
+                for i in range(n):
+                    try:
+                        box, found = reader.spans(document, i)
+                        spans = [dict(zip(("span_idx", "text", "x", "y", "w", "h"), (k, *x), strict=True)) for k, x in enumerate(found)]
+                    except Exception:
+                        log.warning("page %d of %s can't be read", i, name.as_py(), exc_info=True)
+                        box, spans = None, None
+                    columns = [pa.array([name.as_py()], batch.column(0).type), pa.array([i], pa.int32()), pa.array([box], pa.list_(pa.float64())), pa.array([spans], _SPANS)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, "page_idx", "media_box", "spans"])
+
+    rows = files.select(key, "content")
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{key}` {kind}, page_idx int, media_box array<double>, spans array<struct<span_idx:int,text:string,x:double,y:double,w:double,h:double>>")
+
+
+def render_pages(files: DataFrame, render: Callable[..., Iterator[tuple[int, int, bytes]]], dpi: int | Column = 300, *, key: str = "path", image_format: str = "png") -> DataFrame:
+    """One row a page: ``key, page_idx, width_px, height_px, image``.
+
+    ``render(content, dpi)``, or ``render(content, dpi, image_format)``, yields (width, height, bytes) by page; ``dpi``
+    may be a column.  An error of a file is logged and fails the task.  A page's picture is sent on at once.
+    """
+    if image_format not in ("jpeg", "png"):
+        raise ValueError(f"unknown image format {image_format!r}")
+    on_workers(files.sparkSession)
+    more = (image_format,) if len(inspect.signature(render).parameters) > 2 else ()
 
-    return files.select("path", "content").mapInPandas(run, "path string, page_idx int, width_px int, height_px int, image binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content, at in zip(*(batch.column(i) for i in range(3)), strict=True):
+                with logged(f"rendering of {name.as_py()}"):
+                    for i, (width, height, image) in enumerate(render(content.as_py(), at.as_py(), *more)):
+                        columns = [pa.array([name.as_py()], batch.column(0).type), *(pa.array([x], pa.int32()) for x in (i, width, height)), pa.array([image], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=[key, "page_idx", "width_px", "height_px", "image"])
+
+    rows = files.select(key, "content", (dpi if isinstance(dpi, Column) else F.lit(dpi)).cast("int").alias("dpi"))
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{key}` {kind}, page_idx int, width_px int, height_px int, image binary")
 
 
 def read_sweep(spark: SparkSession, path: str) -> DataFrame:

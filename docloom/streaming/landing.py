@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +16,19 @@ def landing(spark: SparkSession, folder: str, *, pattern: str = "*.pdf", files_p
     return reader.option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).load(folder)
 
 
-def process_arrivals(files: DataFrame, process: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
+def process_arrivals(files: DataFrame, process: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, log: str | None = None) -> StreamingQuery:
     """Runs ``process`` on each admitted batch and appends what it gives to ``target``; ends when nothing is left.
 
-    A batch is written under its number, so one that runs again replaces itself.
+    A batch is written under its number, so one that runs again replaces itself.  ``log`` gets the batch's
+    ``processing_s`` in the same way.
     """
 
     def one(batch: DataFrame, number: int) -> None:
+        began = time.perf_counter()
         process(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if log is not None:
+            took = batch.sparkSession.range(1).select(F.lit(time.perf_counter() - began).alias("processing_s"))
+            took.write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
