@@ -1,7 +1,7 @@
 """Benchmark decontamination by a BM25 index of test items and block-max WAND.
 
-The items are the indexed side: few, counted before they are sent to tasks, and split into shards of
-bounded size.  Every passage of every training text is a query.  Impacts are divided by the item's score
+The items are the indexed side: few, counted before they are sent to tasks, split into shards of
+bounded size, and sent in parts of bounded size.  Every passage of every training text is a query.  Impacts are divided by the item's score
 for its own text, so one threshold holds for all items.  A passage's bounds for blocks of items decide
 whether it is searched at all; block-max WAND then returns every item above the threshold, and each is
 verified by the overlap of its question and of its answer with the passage.
@@ -9,6 +9,7 @@ verified by the overlap of its question and of its answer with the passage.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WordCodes, with_arrow_columns, words_of
+from docloom.llm.common import WordCodes, discard, stored, with_arrow_columns, words_of
 
 _MARKS = "\"'()[]{}<>.,;:!?*_-–—…«»“”‘’¿¡|#$%&"
 _BLOCKS = 64
@@ -66,15 +67,17 @@ class ItemShard:
             for own, half in ((self.question, item.question), (self.answer, item.answer)):
                 n = self.run(half)
                 own.append((n, self.grams(np.array([vocabulary[w] for w in half], np.int64), n)))
-        self.items = {t: [i for i, _ in p] for t, p in postings.items()}
-        self.impacts = {t: [x for _, x in p] for t, p in postings.items()}
-        #: The greatest impact of each term in each block; the last row is that of words in no item.
-        self.bounds = np.zeros((len(vocabulary) + 1, -(-len(items) // self.block)), np.float32)
+        self.items = {t: array("i", [i for i, _ in p]) for t, p in postings.items()}
+        self.impacts = {t: array("d", [x for _, x in p]) for t, p in postings.items()}
+        #: The blocks that hold each term, in order, and its greatest impact in each.
+        self.bounds: dict[int, tuple[array, array]] = {}
         for t, p in postings.items():
+            most: dict[int, float] = {}
             for i, x in p:
                 at = i // self.block
-                self.bounds[t, at] = max(self.bounds[t, at], np.nextafter(np.float32(x), np.float32(2)))
-        self.highest = self.bounds.max(axis=1)
+                most[at] = max(most.get(at, 0.0), float(np.nextafter(np.float32(x), np.float32(2))))
+            self.bounds[t] = array("i", most), array("f", most.values())
+        self.highest = {t: max(x) for t, (_, x) in self.bounds.items()}
         #: Words of many items recur within a passage: the passage's bound takes for them what any item of
         #: a block can get from all of them at most, and sums the bounds of the other words.
         many = {t for t, p in postings.items() if len(p) > max(1, common * len(items))}
@@ -83,8 +86,41 @@ class ItemShard:
             for i, x in postings[t]:
                 all_common[i] += x
         self.common = np.maximum.reduceat(all_common, np.arange(0, len(items), self.block)).astype(np.float32)
-        self.rare = self.bounds.copy()
-        self.rare[sorted(many)] = 0
+        self._place_bounds([t for t in postings if t not in many], len(vocabulary))
+
+    def _place_bounds(self, terms: list[int], n_words: int) -> None:
+        """Bounds as passages sum them: a row for each term of at least an eighth of the blocks (the last row, of
+        zeros, is that of all other words), lists for the rest, so that all together grow with the postings."""
+        n_blocks = len(self.common)
+        wide = [t for t in terms if 8 * len(self.bounds[t][0]) >= n_blocks]
+        few = [t for t in terms if 8 * len(self.bounds[t][0]) < n_blocks]
+        #: Word -> its row, or the number of rows and its list's number; the last is that of unknown words.
+        self.place = np.full(n_words + 1, -1, np.int32)
+        self.place[wide + few] = np.arange(len(terms))
+        self.rows = np.zeros((len(wide) + 1, n_blocks), np.float32)
+        for k, t in enumerate(wide):
+            self.rows[k, self.bounds[t][0]] = self.bounds[t][1]
+        self.starts = np.cumsum([0] + [len(self.bounds[t][0]) for t in few])
+        self.listed = np.array([x for t in few for x in self.bounds[t][0]], np.int32)
+        self.heights = np.array([x for t in few for x in self.bounds[t][1]], np.float32)
+
+    def bound(self, term: int, block: int) -> float:
+        blocks, heights = self.bounds[term]
+        k = bisect_left(blocks, block)
+        return heights[k] if k < len(blocks) and blocks[k] == block else 0.0
+
+    def _sums(self, terms: np.ndarray, step: int) -> np.ndarray:
+        """By every ``step`` terms and block: the sum of the terms' bounds."""
+        place, n_wide = self.place[terms], len(self.rows) - 1
+        out = self.rows[np.where(place < n_wide, place, n_wide)].reshape(-1, step, self.rows.shape[1]).sum(axis=1)
+        words = np.flatnonzero(place >= n_wide)
+        if len(words):
+            of = place[words] - n_wide
+            n = self.starts[of + 1] - self.starts[of]
+            spots = np.repeat(self.starts[of] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            cells = np.repeat(words // step, n) * out.shape[1] + self.listed[spots]
+            out += np.bincount(cells, self.heights[spots], out.size).reshape(out.shape).astype(np.float32)
+        return out
 
     def run(self, half: list[str]) -> int:
         """The run length an item's half is compared by: ``gram``, or all its words if fewer."""
@@ -108,11 +144,10 @@ class ItemShard:
         n = -(-len(terms) // step)
         padded = np.full(n * step, -1, np.int64)
         padded[: len(terms)] = terms
-        sums = np.empty((n + 1, self.bounds.shape[1]), np.float32)
+        sums = np.empty((n + 1, len(self.common)), np.float32)
         sums[n] = 0
         for at in range(0, n, 256):  # whatever a text's length, a few thousand words at a time
-            part = padded[at * step : (at + 256) * step]
-            sums[at : min(at + 256, n)] = self.rare[part].reshape(-1, step, self.rare.shape[1]).sum(axis=1)
+            sums[at : min(at + 256, n)] = self._sums(padded[at * step : (at + 256) * step], step)
         window = (sums[:-1] + sums[1:] + self.common).max(axis=1)
         for k in np.flatnonzero(window >= threshold - 1e-4):
             if k and k == n - 1:
@@ -144,7 +179,7 @@ class ItemShard:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             block = item // self.block
-            if sum(float(self.bounds[c[2], block]) for c in cursors[: pivot + 1]) < slack:
+            if sum(self.bound(c[2], block) for c in cursors[: pivot + 1]) < slack:
                 target = (block + 1) * self.block
                 if pivot + 1 < len(cursors):
                     target = min(target, cursors[pivot + 1][0])
@@ -164,6 +199,21 @@ class ItemShard:
         return found
 
 
+def _runs(items: list[Item], most_items: int, most_words: int) -> Iterator[list[Item]]:
+    """The items one after the other, in lists of at most so many items and words; a longer item is a list of its own."""
+    part: list[Item] = []
+    words = 0
+    for x in items:
+        size = len(x.question) + len(x.answer)
+        if part and (len(part) == most_items or words + size > most_words):
+            yield part
+            part, words = [], 0
+        part.append(x)
+        words += size
+    if part:
+        yield part
+
+
 @dataclass
 class ItemIndex:
     vocabulary: dict[str, int]
@@ -171,17 +221,42 @@ class ItemIndex:
 
     @classmethod
     def build(cls, items: list[Item], gram: int = 3, shard_items: int = 4096) -> ItemIndex:
-        """Shards hold items of one length class (a power of two), at most ``shard_items`` each."""
+        """One index of all items."""
+        return next(cls.parts(items, gram, shard_items, part_words=None), cls({}, []))
+
+    @classmethod
+    def parts(cls, items: list[Item], gram: int = 3, shard_items: int = 4096, shard_words: int = 1 << 18, part_words: int | None = 1 << 20) -> Iterator[ItemIndex]:
+        """Indexes of at most ``part_words`` words (None: one index).
+
+        Shards hold items of one length class (a power of two), at most ``shard_items`` items and ``shard_words`` words
+        each, and a part holds whole shards; document frequencies are those of all items.  So an item has the same
+        scores however the shards are parted.
+        """
         items = sorted((x for x in items if x.question or x.answer), key=lambda x: (len(x.question) + len(x.answer), x.item_id))
         df = Counter(w for x in items for w in {*x.question, *x.answer})
-        vocabulary = {w: i for i, w in enumerate(sorted(df))}
-        n = np.array([df[w] for w in vocabulary], float)
-        idf = np.log1p((len(items) - n + 0.5) / (n + 0.5))
         classes: dict[int, list[Item]] = {}
         for x in items:
             classes.setdefault((len(x.question) + len(x.answer) - 1).bit_length(), []).append(x)
-        shards = [ItemShard(group[i : i + shard_items], vocabulary, idf, gram) for _, group in sorted(classes.items()) for i in range(0, len(group), shard_items)]
-        return cls(vocabulary, shards)
+        groups = [run for _, group in sorted(classes.items()) for run in _runs(group, shard_items, shard_words)]
+
+        def part(some: list[list[Item]]) -> ItemIndex:
+            words = sorted({w for group in some for x in group for w in (*x.question, *x.answer)})
+            vocabulary = {w: i for i, w in enumerate(words)}
+            n = np.array([df[w] for w in words], float)
+            idf = np.log1p((len(items) - n + 0.5) / (n + 0.5))
+            return cls(vocabulary, [ItemShard(group, vocabulary, idf, gram) for group in some])
+
+        held: list[list[Item]] = []
+        size = 0
+        for group in groups:
+            words = sum(len(x.question) + len(x.answer) for x in group)
+            if held and part_words is not None and size + words > part_words:
+                yield part(held)
+                held, size = [], 0
+            held.append(group)
+            size += words
+        if held:
+            yield part(held)
 
     def leaks(self, terms: np.ndarray, threshold: float, overlap: float) -> dict[int, tuple[float, float, float, int]]:
         """By item: the verified passage with the highest score, as (score, question's overlap, answer's, first word)."""
@@ -202,8 +277,8 @@ class ItemIndex:
 
 
 def read_items(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", answer_col: str | None = None, max_bytes: int = 256 << 20) -> list[Item]:
-    """The items on the driver.  Their bytes are summed first, and more than ``max_bytes`` is an error:
-    such a benchmark is to be passed in parts, whose results are united."""
+    """The items on the driver.  Their bytes are summed first, and more than ``max_bytes`` is an error: the driver
+    holds all items once, tasks the index of one part (:func:`find_leaks`).  Rows with a null id are no items."""
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((text_col, "q"), *([(answer_col, "a")] if answer_col else []))]
     rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), *texts)
     size = rows.agg(F.sum(sum((F.octet_length(c) for c in rows.columns[1:]), F.lit(0)))).first()[0] or 0
@@ -221,7 +296,7 @@ LEAKS = "leaks array<struct<item_id:bigint,score:double,question_overlap:double,
 
 
 def find_leaks(
-    documents: DataFrame, items: list[Item], *, text_col: str = "text", threshold: float = 0.5, overlap: float = 0.6, gram: int = 3
+    documents: DataFrame, items: list[Item], *, text_col: str = "text", threshold: float = 0.5, overlap: float = 0.6, gram: int = 3, part_words: int = 1 << 20
 ) -> DataFrame:
     """``documents`` with ``leaks``: the items found in the text, by id.
 
@@ -229,8 +304,25 @@ def find_leaks(
     has ``overlap`` of the word runs of its question and of its answer.  Null and empty texts leak nothing, items
     without words are never found, without items there are no leaks; repeated items are reported once an id;
     rows are kept as they are; an input column named ``leaks`` is replaced.
+
+    Items of over ``part_words`` words go in parts, one pass over the documents each, so that a worker holds the
+    index of one part; what is found doesn't depend on the parts.  Between passes the documents are written.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(ItemIndex.build(items, gram))
+    parts = ItemIndex.parts(items, gram, part_words=part_words)
+    out = _with_leaks(documents, next(parts, ItemIndex({}, [])), text_col, threshold, overlap)
+    before: DataFrame | None = None
+    for index in parts:
+        written = stored(out, "leaks")
+        discard(before)
+        before = written
+        out = _with_leaks(written, index, text_col, threshold, overlap, more=True)
+    return out
+
+
+def _with_leaks(documents: DataFrame, built: ItemIndex, text_col: str, threshold: float, overlap: float, more: bool = False) -> DataFrame:
+    """Leaks of one index's items, with ``more`` besides those in ``leaks``."""
+    sent = documents.sparkSession.sparkContext.broadcast(built)
+    names = ("item_id", "score", "question_overlap", "answer_overlap", "first_word")
 
     def make():
         index = sent.value
@@ -247,8 +339,22 @@ def find_leaks(
             if not len(terms):
                 return []
             found = index.leaks(terms, threshold, overlap)
-            return [dict(zip(("item_id", "score", "question_overlap", "answer_overlap", "first_word"), (i, *x), strict=True)) for i, x in sorted(found.items())]
+            return [dict(zip(names, (i, *x), strict=True)) for i, x in sorted(found.items())]
+
+        def joined(now: list[dict], known: list[dict]) -> list[dict]:
+            """By item the passage with the highest score, as :meth:`ItemIndex.leaks` has it."""
+            best: dict[int, tuple] = {}
+            for x in (*now, *known):
+                said = tuple(x[c] for c in names[1:])
+                best[x["item_id"]] = max(best.get(x["item_id"], said), said)
+            return [dict(zip(names, (i, *x), strict=True)) for i, x in sorted(best.items())]
+
+        def compute(texts: pa.Array, earlier: pa.Array | None = None) -> tuple[pa.Array]:
+            found = [one(x.as_py()) for x in texts]
+            if earlier is not None:
+                found = [joined(a, b.as_py()) for a, b in zip(found, earlier, strict=True)]
+            return (pa.array(found, kind),)
 
-        return lambda texts: (pa.array([one(x.as_py()) for x in texts], kind),)
+        return compute
 
-    return with_arrow_columns(documents, [text_col], make, LEAKS)
+    return with_arrow_columns(documents, [text_col, "leaks"] if more else [text_col], make, LEAKS)

@@ -106,3 +106,26 @@ def test_edges(spark):
         read_items(spark.createDataFrame([(1, "x" * 100)], "item_id long, text string"), max_bytes=10)
     answers = spark.createDataFrame([(1, "what is it", "a thing")], "item_id long, text string, answer string")
     assert read_items(answers, answer_col="answer") == [Item(1, ["what", "is", "it"], ["a", "thing"])]
+
+
+def test_parts_find_the_same(spark):
+    made = [Item(i, *halves(w)) for i, w in items(8, 200)]
+    rng = random.Random(9)
+    rows = [(d, " ".join(w for x in rng.sample(made, 3) for w in x.question + x.answer), "leaks of before") for d in range(60)] + [(60, None, None), (61, "", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, leaks string")
+    whole = find_leaks(frame, made)
+    parted = find_leaks(frame, [*made, made[5]], part_words=700)
+    assert len(list(ItemIndex.parts(made, part_words=700))) == 3  # length classes of 4 to 6 bits, shorter items with the first
+    ids = [{(r.doc_id, x["item_id"]) for r in t.collect() for x in r.leaks} for t in (whole, find_leaks(frame, made, part_words=700), parted)]
+    assert ids[0] == ids[1] and len(ids[0]) > 100 and ids[2] >= {x for x in ids[0] if x[1] == 5}
+    scores = [sorted((r.doc_id, x["item_id"], x["score"], x["first_word"]) for r in t.collect() for x in r.leaks) for t in (whole, find_leaks(frame, made, part_words=700))]
+    assert scores[0] == scores[1]
+    assert [r.leaks for r in whole.where("doc_id >= 60").collect()] == [[], []]
+
+
+def test_an_index_grows_with_its_postings():
+    import pickle
+
+    few, many = ([Item(i, [f"w{i}x{j}" for j in range(20)], [f"v{i}x{j}" for j in range(20)]) for i in range(n)] for n in (500, 4000))
+    sizes = [len(pickle.dumps(ItemIndex.build(x))) / len(x) for x in (few, many)]
+    assert sizes[1] < 1.5 * sizes[0] and sizes[1] < 16_000
