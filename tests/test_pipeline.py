@@ -233,3 +233,29 @@ def test_formula_batches_across_arrow_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert recognize_formulas(targets.limit(0), Strict).collect() == []
+
+
+def test_json_is_written_in_bounded_slices(spark, monkeypatch):
+    """Values of all kinds as Python writes them, whatever the size of the slices; boxes whose sides can't be null too."""
+    from docloom.functions import geometry as G
+    from docloom.functions import json_text as module
+
+    kind = "struct<s:string,n:bigint,b:boolean,f:double,box:struct<x1:double,y1:double,x2:double,y2:double>,xs:array<struct<t:string,ys:array<double>>>,m:map<string,string>>"
+    box = {"x1": 2.675, "y1": -0.001, "x2": 1e16, "y2": None}
+    values = [
+        {"s": 'a "q" \\ \n\x01é ', "n": -3, "b": True, "f": 1e-7, "box": box, "xs": [{"t": "", "ys": [0.1, None, float("inf")]}, None, {"t": None, "ys": []}], "m": {"k": 'v\n"'}},
+        None,
+        {"s": None, "n": None, "b": None, "f": 1e22, "box": None, "xs": [], "m": {}},
+        {"s": "x", "n": 2**60, "b": False, "f": -0.0, "box": {k: 0.125 for k in box}, "xs": None, "m": None},
+    ] * 25
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}").coalesce(1)
+
+    def plain(v):
+        return v and {**v, "box": v["box"] and [None if x is None else round(x, 2) for x in v["box"].values()]}
+
+    wanted = [v and json.dumps(plain(v), indent=2, ensure_ascii=False) for v in values]
+    for most in (1, 500, 2 << 20):
+        monkeypatch.setattr(module, "SLICE_BYTES", most)
+        assert [r.j for r in rows.select("i", module.indented(F.col("v"), rows.schema["v"].dataType).alias("j")).orderBy("i").collect()] == wanted
+    sure = spark.range(1).select(F.struct(G.bbox(1.005, 2, 3, 4).alias("box")).alias("v"))
+    assert json.loads(sure.select(module.indented(F.col("v"), sure.schema["v"].dataType)).first()[0]) == {"box": [1.0, 2.0, 3.0, 4.0]}
