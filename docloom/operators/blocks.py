@@ -14,8 +14,8 @@ PAGE_KEY = ["doc_id", "page_idx"]
 
 
 def with_reading_order(detections: DataFrame, by: str | None = "order_seq") -> DataFrame:
-    """``reading_order``: the rank from 0 on the page by ``by``, ties by ``det_idx``; by ``det_idx`` alone if ``by`` is None."""
-    order = [by, "det_idx"] if by else ["det_idx"]
+    """``reading_order``: the rank from 0 on the page by ``by`` (nulls last), ties by ``det_idx``; by ``det_idx`` alone if ``by`` is None."""
+    order = [F.col(by).asc_nulls_last(), "det_idx"] if by else ["det_idx"]
     return detections.withColumn("reading_order", F.row_number().over(Window.partitionBy(*PAGE_KEY).orderBy(*order)) - 1)
 
 
